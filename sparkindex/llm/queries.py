@@ -15,5 +15,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.packing import pack, pieces
+
+    placed = pack(pieces(table(spark, sf_dir, "documents")))
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.positional import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+QUERIES = {"op1_pack": op1_pack, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
