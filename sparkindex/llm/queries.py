@@ -37,5 +37,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.common import new_path
+    from sparkindex.llm.warc import read_archives, with_decision, write_archives
+
+    path = new_path(spark, "archives")
+    write_archives(with_decision(table(spark, sf_dir, "pages")), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.quality import THRESHOLD, fold, quality_scores
+
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_warc": op3_warc, "op4_quality": op4_quality, "op1_pack": op1_pack, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+        k AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, d.payload_digest,
+               CASE WHEN kept IS NULL OR page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND payload_bytes >= 1000
+    """,
+}
