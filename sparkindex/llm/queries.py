@@ -53,7 +53,38 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op4_quality": op4_quality, "op1_pack": op1_pack, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.sketch import as_text, containment, fingerprints
+
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("edit")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        containment(F.col("edit"), F.col("own")).alias("edited_in_own"),
+    )
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.sharding import shard_documents
+
+    found = shard_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
+    "op5_sketch": op5_sketch,
+    "op6_shards": op6_shards,
+    "op7_simhash": op7_simhash,
+    "op10_decontaminate": op10_decontaminate,
+}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
