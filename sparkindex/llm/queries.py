@@ -76,13 +76,35 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.quotes import conversations
+
+    return conversations(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.extract import main_texts
+
+    found = main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkindex.llm.licenses import license_labels
+
+    return license_labels(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_quotes": op2_quotes,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_sketch": op5_sketch,
     "op6_shards": op6_shards,
     "op7_simhash": op7_simhash,
+    "op8_main_text": op8_main_text,
+    "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
