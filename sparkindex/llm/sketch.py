@@ -25,7 +25,7 @@ from sparkindex.llm.common import ascii_lower
 WORDS = 5
 SCALE = 8
 #: Text that one window of neighbouring documents holds about.
-WINDOW_BYTES = 32 << 20
+WINDOW_BYTES = 4 << 20
 MAX_WINDOWS = 1 << 14
 
 
