@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_hash(data: bytes) -> str:
@@ -14,7 +15,7 @@ def content_hash(data: bytes) -> str:
     return hashlib.blake2b(data, digest_size=16).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b(content: pd.Series) -> pd.Series:
     """content_hash over a column, in Arrow batches: Spark has no BLAKE2b."""
     return content.map(lambda data: None if data is None else content_hash(bytes(data)))

@@ -25,10 +25,18 @@ JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.
 IGNORED = (".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "venv", "node_modules", "dist", "build")
 MAX_FILE_BYTES = 1_048_576
 
-FILES = T.StructType.fromDDL("file_id long, path string, language string, content_hash string, mtime double, indexed_at double")
-SYMBOLS = T.StructType.fromDDL("symbol_id long, file_id long, ordinal int, name string, qualified_name string, kind string, start_line int, end_line int, signature string, parent_id long")
-REFS = T.StructType.fromDDL("file_id long, name string, line int")
-RESOLVED = T.StructType.fromDDL("file_id long, name string, line int, resolved_symbol_id long, confidence string")
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema of plain types; executors import this module, so no JVM may be asked."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+FILES = _struct("file_id long, path string, language string, content_hash string, mtime double, indexed_at double")
+SYMBOLS = _struct("symbol_id long, file_id long, ordinal int, name string, qualified_name string, kind string, start_line int, end_line int, signature string, parent_id long")
+REFS = _struct("file_id long, name string, line int")
+RESOLVED = _struct("file_id long, name string, line int, resolved_symbol_id long, confidence string")
 
 
 @dataclass
