@@ -143,7 +143,7 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 def _version(text: str) -> str:
     """A version as words, with or without a word for it before: 2.0 is `2 0` or `2`."""
     number = text.removesuffix(".0").replace(".", " ")
-    return f"(?:version |v )?{number}(?: 0)?" if text.endswith(".0") else f"(?:version |v )?{number}"
+    return f"(?:version |v )?{number}(?: 0)?(?! [0-9])" if text.endswith(".0") else f"(?:version |v )?{number}"
 
 
 def _glued(text: str) -> str:

@@ -43,10 +43,10 @@ def _kept(tokens: Column, words: int, scale: int) -> Column:
     n = F.size(tokens)
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))))
     hashes = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(tokens, i + k - 1) for k in range(words)]), 1))
-    limit = F.lit((1 << 63) // scale).cast("long")
+    limit = F.lit((1 << 63) // scale - 1).cast("long")
 
     def keep(all_hashes: Column) -> Column:
-        below = F.filter(all_hashes, lambda h: h < limit)
+        below = F.filter(all_hashes, lambda h: h <= limit)
         return F.transform(F.array(below), lambda b: F.when((F.size(b) == 0) & (F.size(all_hashes) > 0), F.array(F.array_min(all_hashes))).otherwise(F.array_sort(F.array_distinct(b))))[0]
 
     return F.transform(F.array(hashes), keep)[0]

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -38,6 +40,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 #: A skippable frame of no bytes, which is ASCII.
 EMPTY_FRAME = b"P*M\x18\0\0\0\0"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]|\A\Z")
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,7 +65,10 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     headers = [("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
     if url is not None:
-        headers.append(("WARC-Target-URI", quote(url, safe="!#$&'()*+,/:;=?@[]~%")))
+        target = _UNSAFE.sub(lambda m: quote(m[0]), url)
+        headers.append(("WARC-Target-URI", target))
+        if target != url:  # not a URI as it stands: kept as JSON, to come back as it was
+            headers.append(("X-Original-URI", json.dumps(url)))
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is None:
         return record("response", headers, http + payload)
@@ -191,8 +197,8 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = False) -> Da
                     stored = headers["WARC-Type"] == "response"
                     if stored and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"the payload of {headers['WARC-Record-ID']} is damaged")
-                    url = headers.get("WARC-Target-URI")
-                    row = (page_of(headers["WARC-Record-ID"]), None if url is None else unquote(url), length, digest, headers["WARC-Type"], None if stored else page_of(headers["WARC-Refers-To"]))
+                    url = json.loads(headers["X-Original-URI"]) if "X-Original-URI" in headers else headers.get("WARC-Target-URI")
+                    row = (page_of(headers["WARC-Record-ID"]), url, length, digest, headers["WARC-Type"], None if stored else page_of(headers["WARC-Refers-To"]))
                     rows.append((*row, payload.decode("utf-8", "surrogatepass") if stored else None) if with_html else row)
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
