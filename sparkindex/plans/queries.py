@@ -367,11 +367,11 @@ results AS (SELECT task, contestant, rep, arg_max('see src\\f' || (k % 5) || '.p
 sums AS (SELECT task, contestant, rep, coalesce(sum(value + k) FILTER (what < 2), 0)::BIGINT AS total_tokens, round(max(ts) - min(ts), 3) AS wall_seconds FROM log GROUP BY 1, 2, 3),
 reads AS (SELECT DISTINCT task, contestant, rep, CASE WHEN event_id % 32 <> 2 THEN 'src/f' || (k % 5) || '.py' ELSE '' END AS p FROM log WHERE what = 2 AND event_id % 16 <> 14),
 wasted AS (SELECT task, contestant, rep, count(*) FILTER (p = '' OR r.answer IS NULL OR NOT contains(r.answer, p)) AS n FROM reads LEFT JOIN results r USING (task, contestant, rep) GROUP BY 1, 2, 3),
-plain AS (SELECT *, replace(answer, '\\', '/') AS a, regexp_extract(answer, '([0-9]+)$', 1)::INT AS at FROM results),
+plain AS (SELECT *, replace(answer, '\\', '/') AS a, regexp_extract(answer, '([0-9]+)$', 1)::INT AS num FROM results),
 episodes AS (
   SELECT task, contestant, rep, coalesce(NOT failed AND CASE task
-      WHEN 'task0' THEN contains(a, 'src/f0.py') WHEN 'task1' THEN contains(a, 'src/f1.py') AND at BETWEEN 1 AND 60 WHEN 'task2' THEN true
-      WHEN 'task3' THEN at % 2 = 0 WHEN 'task4' THEN contains(a, 'src/f4') WHEN 'task5' THEN contains(a, 'src/f2.py') AND at BETWEEN 10 AND 99
+      WHEN 'task0' THEN contains(a, 'src/f0.py') WHEN 'task1' THEN contains(a, 'src/f1.py') AND num BETWEEN 1 AND 60 WHEN 'task2' THEN true
+      WHEN 'task3' THEN num % 2 = 0 WHEN 'task4' THEN contains(a, 'src/f4') WHEN 'task5' THEN contains(a, 'src/f2.py') AND num BETWEEN 10 AND 99
       WHEN 'task6' THEN contains(a, 'f1.py') OR contains(a, 'f3.py') ELSE false END, false) AS success,
     total_tokens, coalesce(n, 0)::INT AS wasted_reads, wall_seconds
   FROM sums LEFT JOIN plain USING (task, contestant, rep) LEFT JOIN wasted USING (task, contestant, rep))
