@@ -680,7 +680,7 @@ class _Walker:
                             self.walk(body + 1, stop - 1, (*scope, word), True)
                             k = stop
                             continue
-                    if after is not None:
+                    if after is not None and not (word == "async" and self.arrow(k, len(self.toks)) is not None):
                         self.ref(k)
             elif t.kind == "name" and self.callee(k, end) is not None:
                 self.ref(k)

@@ -12,31 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkindex.functions.paths import import_candidates
-from sparkindex.model import Index, is_definition
+from sparkindex.model import Index, file_id, is_definition
 
 
-def definitions(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols of definition kind with their file's path."""
-    return symbols.where(is_definition(F.col("kind"))).join(files.select("file_id", "path"), "file_id")
+def names_of(symbols: DataFrame) -> DataFrame:
+    """(file_id, name, own, signature): a file's definitions of each name, and the target
+    of its first import of that name. All tiers read this one aggregate."""
+    one = F.struct("start_line", "ordinal", "end_line", "symbol_id")
+    own = F.collect_list(F.when(is_definition(F.col("kind")), one))
+    first = F.min_by(F.when(F.col("kind") == "import", F.col("signature")), F.when((F.col("kind") == "import") & F.col("signature").isNotNull(), F.col("ordinal")))
+    return symbols.groupBy("file_id", "name").agg(own.alias("own"), first.alias("signature"))
 
 
-def first_imports(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, name, signature, language, path): a file's first import of each local name."""
-    found = symbols.where("kind = 'import' and signature is not null").groupBy("file_id", "name").agg(F.min_by("signature", "ordinal").alias("signature"))
-    return found.join(files.select("file_id", "language", "path"), "file_id")
+def follow_imports(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(file_id, name, import_id): what the import leads to, in one hop, if anything."""
+    asked = names.where("signature is not null").join(files.select("file_id", "language", "path"), "file_id")
+    asked = asked.select("file_id", "name", F.posexplode(import_candidates(F.col("signature"), F.col("language"), F.col("path"))).alias("nth", "c"))
+    asked = asked.select(F.col("file_id").alias("from_id"), F.col("name").alias("as_name"), "nth", file_id(F.col("c.path")).alias("file_id"), F.col("c.name").alias("name"))
+    earliest = names.where(F.size("own") > 0).select("file_id", "name", F.array_min("own")["symbol_id"].alias("symbol_id"))
+    found = asked.join(earliest, ["file_id", "name"]).groupBy("from_id", "as_name").agg(F.min_by("symbol_id", "nth").alias("import_id"))
+    return found.select(F.col("from_id").alias("file_id"), F.col("as_name").alias("name"), "import_id")
 
 
-def follow_imports(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, name, symbol_id): what the import leads to, in one hop, if anything."""
-    asked = first_imports(files, symbols).select("file_id", "name", F.posexplode(import_candidates(F.col("signature"), F.col("language"), F.col("path"))).alias("nth", "c"))
-    asked = asked.select("file_id", "name", "nth", F.col("c.path").alias("path"), F.col("c.name").alias("wanted"))
-    earliest = definitions(files, symbols).groupBy("path", F.col("name").alias("wanted")).agg(F.min_by("symbol_id", F.struct("start_line", "ordinal")).alias("symbol_id"))
-    return asked.join(earliest, ["path", "wanted"]).groupBy("file_id", "name").agg(F.min_by("symbol_id", "nth").alias("import_id"))
-
-
-def only_definitions(symbols: DataFrame) -> DataFrame:
-    """(name, symbol_id) of names that are defined exactly once."""
-    found = symbols.where(is_definition(F.col("kind"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("only_id"))
+def only_definitions(names: DataFrame) -> DataFrame:
+    """(name, only_id) of names that are defined exactly once."""
+    found = names.where(F.size("own") > 0).groupBy("name").agg(F.sum(F.size("own")).alias("n"), F.min(F.get("own", F.lit(0))["symbol_id"]).alias("only_id"))
     return found.where("n = 1").select("name", "only_id")
 
 
@@ -51,9 +51,9 @@ def pick(candidates, line):
 def resolve(files: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """refs (file_id, name, line) with resolved_symbol_id and confidence."""
     used = refs.groupBy("file_id", "name").agg(F.collect_list("line").alias("lines"))
-    own = symbols.where(is_definition(F.col("kind"))).groupBy("file_id", "name").agg(F.collect_list(F.struct("start_line", "ordinal", "end_line", "symbol_id")).alias("own"))
-    keyed = used.join(own, ["file_id", "name"], "left").join(follow_imports(files, symbols), ["file_id", "name"], "left").join(only_definitions(symbols), "name", "left")
-    each = keyed.select("file_id", "name", F.explode("lines").alias("line"), "own", "import_id", "only_id")
+    names = names_of(symbols)
+    keyed = used.join(names.select("file_id", "name", "own"), ["file_id", "name"], "left").join(follow_imports(files, names), ["file_id", "name"], "left").join(only_definitions(names), "name", "left")
+    each = keyed.select("file_id", "name", F.explode("lines").alias("line"), F.when(F.size("own") > 0, F.col("own")).alias("own"), "import_id", "only_id")
     exact = F.when(F.col("own").isNotNull(), pick(F.col("own"), F.col("line")))
     return each.select(
         "file_id",

@@ -31,9 +31,12 @@ def file_rows(sources: DataFrame, now: float) -> DataFrame:
     return sources.select(file_id(F.col("path")).alias("file_id"), "path", "language", "content_hash", "mtime", F.lit(now).alias("indexed_at"))
 
 
-def index_of(sources: DataFrame, now: float) -> Index:
-    """The index of source rows (path, language, content_hash, mtime, content)."""
+def index_of(sources: DataFrame, now: float, store: Store | None = None) -> Index:
+    """The index of source rows (path, language, content_hash, mtime, content). With a
+    store, what the scanners find is written there first, so files are parsed once."""
     found = extracted(sources)
+    if store is not None:
+        found = store.stage(found)
     return with_resolution(file_rows(sources, now), symbols_of(found), refs_of(found))
 
 
@@ -62,7 +65,7 @@ def build(spark: SparkSession, root: str, store: Store, now: float, max_bytes: i
     try:
         counts = {r["state"]: r["n"] for r in sources.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
         removed = stale_paths(store.read(), sources.where("state = 'ok'")).count()
-        store.write(index_of(sources.where("state = 'ok'"), now))
+        store.write(index_of(sources.where("state = 'ok'"), now, store))
     finally:
         sources.unpersist()
     return Built(counts.get("ok", 0), counts.get("large", 0), counts.get("failed", 0) + counts.get("gone", 0), removed)
@@ -91,7 +94,7 @@ def _apply(store: Store, current: DataFrame, now: float, whole: DataFrame | None
         changed = found.where("outcome in ('updated', 'removed')")
         if not changed.isEmpty():
             updated = current.join(found.where("outcome = 'updated'").select("path"), "path", "left_semi")
-            store.write(replaced(index, changed, index_of(updated, now)))
+            store.write(replaced(index, changed, index_of(updated, now, store)))
         rows = [(r.path, r.outcome) for r in found.toLocalIterator()]
         found.unpersist()
     finally:

@@ -26,15 +26,19 @@ def since_epoch(column: str, unit: str):
     return F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 
 
-def star_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(suppkey, path, language, content_hash, mtime, indexed_at)."""
+def star_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(suppkey, s_name, path) of each supplier."""
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_shipdate").alias("last"))
     placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = placed.join(shipped, "s_suppkey", "left")
-    return rows.select(
-        F.col("s_suppkey").alias("suppkey"),
-        F.concat("r_name", F.lit("/"), "n_name", F.lit("/"), "s_name", F.lit(".py")).alias("path"),
+    return placed.select(F.col("s_suppkey").alias("suppkey"), "s_name", F.concat("r_name", F.lit("/"), "n_name", F.lit("/"), "s_name", F.lit(".py")).alias("path"))
+
+
+def star_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation files; a file's time is that of its last line item."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("suppkey")).agg(F.max("l_shipdate").alias("last"))
+    return star_paths(spark, sf_dir).join(shipped, "suppkey", "left").select(
+        file_id(F.col("path")).alias("file_id"),
+        "path",
         F.lit("python").alias("language"),
         F.md5("s_name").alias("content_hash"),
         F.coalesce(since_epoch("last", "SECOND").cast("double"), F.lit(0.0)).alias("mtime"),
@@ -48,10 +52,9 @@ def kind_of(p_type):
 
 def star_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files, symbols and unresolved references."""
-    keyed = star_files(spark, sf_dir)
     files_n = table(spark, sf_dir, "supplier").count()
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"), "p_type", "p_size", (F.col("p_partkey") % files_n).alias("home"))
-    paths = keyed.select("suppkey", "path")
+    paths = star_paths(spark, sf_dir).select("suppkey", "path")
     homes = part.join(paths, F.col("home") == F.col("suppkey")).select(part.columns + ["path"])
     defined = homes.select("path", "p_partkey", "name", F.concat("p_type", F.lit("."), "name").alias("qualified_name"), kind_of(F.col("p_type")).alias("kind"), (F.col("p_partkey") % 40 + 1).cast("int").alias("start_line"), (F.col("p_partkey") % 40 + 1 + F.col("p_size")).cast("int").alias("end_line"), F.lit(None).cast("string").alias("signature"))
     breadcrumb = F.concat(F.regexp_replace(F.regexp_replace("path", "\\.py$", ""), "/", "."), F.lit("."), "name")
@@ -62,8 +65,7 @@ def star_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     symbols = ordered.select(symbol_id(F.col("path"), F.col("ordinal")).alias("symbol_id"), file_id(F.col("path")).alias("file_id"), "ordinal", "name", "qualified_name", "kind", "start_line", "end_line", "signature", F.lit(None).cast("long").alias("parent_id"))
     used = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") % 60 + 1).cast("int").alias("line"))
     refs = used.join(part.select("p_partkey", "name"), F.col("l_partkey") == F.col("p_partkey")).join(paths, F.col("l_suppkey") == F.col("suppkey")).select(file_id(F.col("path")).alias("file_id"), "name", "line").distinct()
-    files = keyed.select(file_id(F.col("path")).alias("file_id"), "path", "language", "content_hash", "mtime", "indexed_at")
-    return files, symbols, refs
+    return star_files(spark, sf_dir), symbols, refs
 
 
 def star_index(spark: SparkSession, sf_dir: str) -> Index:

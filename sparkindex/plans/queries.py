@@ -6,6 +6,9 @@ anew. Text columns only, so results can be compared by value: arrays are joined.
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,12 @@ from sparkindex.model import Index, file_id
 from sparkindex.operators import budget, evaluation, lookups, scan, search, snapshot
 from sparkindex.operators.extraction import extracted, refs_of, symbols_of
 from sparkindex.plans import indexing, samples
+from sparkindex.plans.facade import CodeIndex
 from sparkindex.plans.projections import NOW, event_log, star_index, star_relations, table, tasks
+from sparkindex.plans.store import Store
+from sparkindex.sources.records import read_log, write_log
+from sparkindex.sources.tree import read_tree
+from sparkindex.streaming import watch as watching
 
 NAME = "red widget Brand#17"
 NAMES = ["red widget Brand#17", "small ring Brand#2", "MEDIUM.blue bolt Brand#4", "nothing"]
@@ -468,3 +476,152 @@ def extract_udtf(spark, sf_dir):
     register_table_function(spark)
     _samples(spark).createOrReplaceTempView("sample_sources")
     return spark.sql("SELECT path, t.* FROM sample_sources, LATERAL extract_symbols(content, language) t")
+
+
+# --- trees, stores and streams -----------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder: where the session names a shared one, there."""
+    named = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    return tempfile.mkdtemp(prefix="sparkindex-", dir=named if named and os.path.isdir(named) else None)
+
+
+def _tree(folder: str) -> str:
+    """The sample sources as files, with others that discovery must pass over."""
+    extra = {"node_modules/x/i.js": "function no() {}", "notes.txt": "def no(): pass", "big.py": "x = 1\n" * 400_000, "a/dist/b.py": "y = 1", "build.py": "z = 2\n"}
+    for path, text_ in [*((p, source) for p, _, source in samples.SOURCES), *extra.items()]:
+        os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
+        with open(f"{folder}/{path}", "w", encoding="utf-8") as f:
+            f.write(text_)
+    return folder
+
+
+PLAIN = [(p, language, "ok") for p, language, _ in samples.SOURCES] + [("build.py", "python", "ok"), ("big.py", "python", "large")]
+
+
+@query(_values(PLAIN, "path, language, state"))
+def discover_tree(spark, sf_dir):
+    return read_tree(spark, _tree(_folder(spark))).select("path", "language", "state")
+
+
+WHOLE = [*samples.RESOLVED]
+CHANGED = [r for r in samples.RESOLVED if r[0] != "shop/prices.py"]
+#: After shop/prices.py is gone, what led there is open; the new file calls a definition.
+AFTER = [(*r[:3], "name-only", None, None) if r[4] == "shop/prices.py" else r for r in CHANGED] + [("new.py", "clear", 2, "name-only", "shop/cart.py", "clear")]
+
+
+@query(_values(WHOLE, "path, name, line, confidence, resolved_path, resolved_qualified_name"))
+def stored_index(spark, sf_dir):
+    """A tree is discovered, extracted, resolved, published and read back."""
+    folder = _folder(spark)
+    store = Store(spark, f"{folder}/store")
+    indexing.build(spark, _tree(f"{folder}/tree"), store, NOW)
+    return usages(store.read())
+
+
+def _edit(root: str) -> None:
+    os.remove(f"{root}/shop/prices.py")
+    with open(f"{root}/new.py", "w", encoding="utf-8") as f:
+        f.write("def fresh():\n    clear(1)\n")
+
+
+@query(_values(AFTER, "path, name, line, confidence, resolved_path, resolved_qualified_name"))
+def refreshed_index(spark, sf_dir):
+    """Two paths change; only they are read and extracted, all references are resolved."""
+    folder = _folder(spark)
+    root, store = _tree(f"{folder}/tree"), Store(spark, f"{folder}/store")
+    indexing.build(spark, root, store, NOW)
+    _edit(root)
+    indexing.refresh(spark, root, store, spark.createDataFrame([("shop/prices.py",), ("new.py",), ("never.py",)], "path string"), NOW)
+    return usages(store.read())
+
+
+@query(_values(AFTER, "path, name, line, confidence, resolved_path, resolved_qualified_name"))
+def swept_index(spark, sf_dir):
+    folder = _folder(spark)
+    root, store = _tree(f"{folder}/tree"), Store(spark, f"{folder}/store")
+    indexing.build(spark, root, store, NOW)
+    _edit(root)
+    indexing.sweep(spark, root, store, NOW)
+    return usages(store.read())
+
+
+@query(_values(AFTER, "path, name, line, confidence, resolved_path, resolved_qualified_name"))
+def streamed_index(spark, sf_dir):
+    """The same changes, told by a stream of events: repeated, late, and on ignored paths."""
+    folder = _folder(spark)
+    root, store = _tree(f"{folder}/tree"), Store(spark, f"{folder}/store")
+    indexing.build(spark, root, store, NOW)
+    _edit(root)
+    os.makedirs(f"{folder}/events")
+    events = [{"path": "shop/prices.py", "dest_path": "new.py", "op": "moved"}, {"path": "new.py", "op": "modified"}, {"path": "new.py", "op": "modified"}, {"path": "node_modules/x/i.js", "op": "modified"}, {"path": "shop", "op": "modified", "is_directory": True}, {"path": "../out.py", "op": "created"}]
+    for k, event in enumerate(events):
+        with open(f"{folder}/events/{k}.json", "w", encoding="utf-8") as f:
+            f.write(json.dumps(event | {"ts": f"2024-01-01T00:00:0{k}"}))
+    watching.watch(spark, root, store, watching.read_events(spark, f"{folder}/events"), f"{folder}/checkpoint", once=True).awaitTermination()
+    return usages(store.read())
+
+
+@query("SELECT * FROM (VALUES ('files', 'extra', 'shop/prices.py'), ('files', 'missing', 'new.py')) v(\"table\", side, path)")
+def check_index(spark, sf_dir):
+    """Drift of a store whose files have changed: the rows of the table files."""
+    folder = _folder(spark)
+    root, store = _tree(f"{folder}/tree"), Store(spark, f"{folder}/store")
+    indexing.build(spark, root, store, NOW)
+    _edit(root)
+    return indexing.check(spark, root, store).where("table = 'files'").select("table", "side", F.get_json_object("row", "$.path").alias("path"))
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+    SELECT path, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 600000000 AS ended, count(*) AS events FROM b GROUP BY path, burst"""
+)
+def debounced_events(spark, sf_dir):
+    """Bursts of a user's events, closed by ten quiet minutes."""
+    touched = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return watching.debounced(touched, "10 minutes").select("path", F.unix_micros("start").alias("started"), F.unix_micros("end").alias("ended"), "events")
+
+
+@query("SELECT CASE WHEN event_id % 4 < 2 THEN 'model' WHEN event_id % 4 = 2 THEN 'tool' ELSE 'result' END AS kind, count(*) AS n, count(DISTINCT event_type) AS contestants FROM events GROUP BY 1")
+def log_round_trip(spark, sf_dir):
+    """A log written as JSON lines and read back."""
+    path = f"{_folder(spark)}/log"
+    log = event_log(spark, sf_dir).withColumns({"step": F.lit(0), "arguments": F.struct("path")})
+    write_log(log, path)
+    return read_log(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("contestant").alias("contestants"))
+
+
+PHRASES = ["add_u", "cart.ad", "add up", "PAGE", "up_add", "cart helper"]
+PHRASE_HITS = [("add_u", "add_up"), ("cart.ad", "add"), ("cart.ad", "helper"), ("add up", "add_up"), ("PAGE", "Page"), ("cart helper", "helper")]
+
+
+@query(_values(PHRASE_HITS, "query, name"))
+def phrase_search(spark, sf_dir):
+    """Phrases whose tokens must stand consecutively, the last one as a prefix."""
+    rows = _samples(spark).where("path in ('shop/cart.py', 'web/app.tsx')").withColumns({"content_hash": F.lit(""), "mtime": F.lit(0.0)})
+    index = indexing.index_of(rows, NOW)
+    found = None
+    for asked in PHRASES:
+        hits = search.token_matches(index, asked).select(F.lit(asked).alias("query"), "name")
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
+
+
+TOOLS = [
+    ("find_definition", "total  function  shop/prices.py:5  def total(items)"),
+    ("find_references", "shop/cart.py:20  add_up  [import]  -> total (shop/prices.py)\nshop/prices.py:8  total  [exact]  -> total (shop/prices.py)"),
+    ("outline_file", "1  Tax  class  class Tax\n2  Tax.rate  const\n5  total  function  def total(items)\n11  fmt  function  def fmt(x)"),
+    ("missing", "sparkindex: no definition of 'nothing' in the index. Fall back to grep/ripgrep for this question; results may simply not be indexed yet."),
+]
+
+
+@query(_values(TOOLS, "tool, answer"))
+def agent_tools(spark, sf_dir):
+    """Answers of the lookups as text, without the line that tells the index's age."""
+    folder = _folder(spark)
+    index = CodeIndex(spark, _tree(f"{folder}/tree"), f"{folder}/store")
+    index.build()
+    said = [("find_definition", index.find_definition("total")), ("find_references", index.find_references("total")), ("outline_file", index.outline_file("shop/prices.py")), ("missing", index.find_definition("nothing"))]
+    return spark.createDataFrame([(tool, "\n".join(x for x in text_.split("\n") if not x.startswith("index_age_ms"))) for tool, text_ in said], "tool string, answer string")

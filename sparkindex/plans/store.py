@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from sparkindex.model import FILES, RESOLVED, SCHEMA_VERSION, SYMBOLS, Index
 
@@ -62,6 +62,12 @@ class Store:
     def empty(self) -> Index:
         return Index(*(self.spark.createDataFrame([], schema) for schema in TABLES.values()))
 
+    def stage(self, frame: DataFrame) -> DataFrame:
+        """Write an intermediate table under the root; the next publication removes it."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     def write(self, index: Index) -> int:
         """Publish a version; the tables may be computed from earlier ones."""
         found = self.versions()
@@ -78,6 +84,7 @@ class Store:
         stream.close()
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"version {version} was published by another writer")
+        fs.delete(self._path("staging"), True)
         return version
 
     def prune(self, keep: int = 2) -> None:

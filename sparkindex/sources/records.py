@@ -7,14 +7,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-LOG = T.StructType.fromDDL(
+LOG = (
     "ts double, task string, contestant string, rep int, step int, kind string, prompt_tokens long, completion_tokens long, answered boolean, tool_calls array<string>, "
     "name string, arguments struct<path:string>, result_chars long, answer string, failure string, success boolean, total_tokens long, wasted_reads int, wall_seconds double, task_id string, repetition int"
 )
 CHECK = "struct<type:string,file:string,line_between:array<int>,values:array<string>,pattern:string>"
-TASKS = T.StructType.fromDDL(f"repository string, tasks array<struct<id:string,split:string,question:string,check:{CHECK}>>")
+TASKS = f"repository string, tasks array<struct<id:string,split:string,question:string,check:{CHECK}>>"
 TURN = "struct<tool_calls:array<struct<name:string,arguments:map<string,string>>>,answer:string,prompt_tokens:bigint,completion_tokens:bigint>"
 
 
@@ -28,7 +27,7 @@ def read_log(spark: SparkSession, paths) -> DataFrame:
 
 def write_log(log: DataFrame, path: str) -> None:
     """One JSON object a line, times with three decimals."""
-    kept = [f.name for f in LOG if f.name in log.columns]
+    kept = [f.split()[0] for f in LOG.split(", ") if f.split()[0] in log.columns]
     rounded = [F.round("ts", 3).alias("ts") if name == "ts" else F.col(name) for name in kept]
     log.select(F.to_json(F.struct(*rounded)).alias("value")).write.mode("append").text(path)
 
@@ -49,8 +48,8 @@ def read_recording(spark: SparkSession, paths) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, url, commit, valid): a commit is 40 hexadecimal digits."""
-    rows = spark.read.option("multiLine", True).schema("datasets array<struct<name:string,url:string,commit:string>>").json(path)
-    return rows.select(F.explode("datasets").alias("d")).select("d.*", F.coalesce(F.col("d.commit").rlike("^[0-9a-f]{40}$"), F.lit(False)).alias("valid"))
+    rows = spark.read.option("multiLine", True).schema("repositories array<struct<name:string,url:string,commit:string>>").json(path)
+    return rows.select(F.explode("repositories").alias("d")).select("d.*", F.coalesce(F.col("d.commit").rlike("^[0-9a-f]{40}$"), F.lit(False)).alias("valid"))
 
 
 def repository_id(root: str) -> str:
