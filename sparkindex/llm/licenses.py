@@ -72,8 +72,9 @@ SENTENCES = [
     ("ncsa", "illinois", "university of illinois ncsa open source license"),
     ("elastic-2.0", "elastic", "elastic license 2 0"),
     ("busl-1.1", "business source", "business source license 1 1"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
 ]
+#: Reserved rights are a weak sign: many pages say so whatever their license.
+RESERVED = ("proprietary", "all rights reserved", 0.5)
 #: Families: label, names (spellings of the name as words), versions.
 FAMILIES = [
     ("agpl", ("gnu affero general public license", "affero general public license", "gnu agpl", "agpl"), ("1.0", "3.0")),
@@ -181,6 +182,7 @@ def build_rules() -> list[Rule]:
     for label, names in PLAIN:
         for name in names:
             add(label, name, name, 0.85)
+    add(RESERVED[0], RESERVED[1], RESERVED[1], RESERVED[2])
     return rules + [rule for _, rule in sorted(named, key=lambda x: x[0])]
 
 
