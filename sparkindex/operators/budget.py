@@ -43,7 +43,7 @@ def answer(lines: DataFrame, total: int, age_ms: int, max_tokens: int = MAX_TOKE
 
 def miss(reason: str) -> str:
     """What to say when there is nothing to show."""
-    return f"sparkindex: {reason}. Fall back to grep/ripgrep for this question; results may simply not be indexed yet."
+    return f"sparkindex: {reason}. Try grep or ripgrep instead: the text may exist without being indexed."
 
 
 def symbol_line(detail=("qualified_name", "kind", "path", "start_line", "signature")):

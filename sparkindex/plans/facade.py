@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkindex.operators import budget, lookups
-from sparkindex.operators.search import ranked_search, token_search
+from sparkindex.operators.search import candidates, features, scored, token_search
 from sparkindex.plans import indexing
 from sparkindex.plans.store import Store
 from sparkindex.sources.records import cache_root, repository_id
@@ -49,37 +49,45 @@ class CodeIndex:
         return lookups.index_age_ms(self.store.read(), time.time()).first()[0]
 
     def _answer(self, rows: DataFrame, line, order: list, total: int | None, none: str, max_tokens: int) -> str:
+        """The rows' lines that fit; one job finds them, how many there were, and the age."""
         if not self.store.exists():
-            return budget.miss(f"no index for {self.root}")
-        numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("rn"), line.alias("line")).cache()  # at most a limit's rows
-        try:
-            n = numbered.count()
-            if not n:
-                return budget.Answer((), False, 0, self.age_ms(), (budget.miss(none),)).render()
-            return budget.answer(numbered, n if total is None else total, self.age_ms(), max_tokens).render()
-        finally:
-            numbered.unpersist()
+            return budget.miss(f"{self.root} has not been indexed")
+        every = Window.partitionBy()
+        numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("rn"), line.alias("line")).withColumn("n", F.count(F.lit(1)).over(every))  # at most a limit's rows
+        kept = budget.within_budget(numbered, max_tokens)
+        age = lookups.index_age_ms(self.store.read(), time.time())
+        found = age.join(kept, F.lit(True), "left").orderBy("rn").collect()  # age is one row
+        lines = tuple(r.line for r in found if r.rn is not None)
+        if not lines:
+            return budget.Answer((), False, 0, found[0].index_age_ms, (budget.miss(none),)).render()
+        known = found[0].n if total is None else total
+        return budget.Answer(lines, len(lines) < known, known, found[0].index_age_ms).render()
 
     def search_symbols(self, query: str, max_tokens: int = budget.MAX_TOKENS, limit: int = 100) -> str:
         """Ranked symbols that match a query by name."""
-        best, total = ranked_search(self.store.read(), query, limit)
-        return self._answer(best, budget.symbol_line(), [F.desc("score"), F.col("path"), F.col("start_line"), F.col("ordinal")], total.first()[0], f"no symbols match {query!r}", max_tokens)
+        index = self.store.read()
+        found = candidates(index, query).cache()  # at most four times the pool
+        try:
+            best = scored(features(index, found)).orderBy(F.desc("score"), "path", "start_line", "ordinal").limit(limit)
+            return self._answer(best, budget.symbol_line(), [F.desc("score"), F.col("path"), F.col("start_line"), F.col("ordinal")], found.count(), f"no symbol is named like {query!r}", max_tokens)
+        finally:
+            found.unpersist()
 
     def find_definition(self, name: str, max_tokens: int = budget.MAX_TOKENS) -> str:
         rows = lookups.find_definition(self.store.read(), name)
-        return self._answer(rows, budget.symbol_line(), ["path", "start_line", "ordinal"], None, f"no definition of {name!r} in the index", max_tokens)
+        return self._answer(rows, budget.symbol_line(), ["path", "start_line", "ordinal"], None, f"nothing defines {name!r}", max_tokens)
 
     def find_references(self, name: str, max_tokens: int = budget.MAX_TOKENS) -> str:
         rows = lookups.find_references(self.store.read(), name)
-        return self._answer(rows, budget.reference_line(), [F.col("resolved_qualified_name").isNull(), "path", "line", "name"], None, f"no references to {name!r} in the index", max_tokens)
+        return self._answer(rows, budget.reference_line(), [F.col("resolved_qualified_name").isNull(), "path", "line", "name"], None, f"nothing uses {name!r}", max_tokens)
 
     def outline_file(self, path: str, max_tokens: int = budget.MAX_TOKENS) -> str:
         rows = lookups.outline_file(self.store.read(), path.replace(os.sep, "/"))
-        return self._answer(rows, budget.outline_line(), ["start_line", "qualified_name"], None, f"no symbols for {path!r} (is the path repo-relative?)", max_tokens)
+        return self._answer(rows, budget.outline_line(), ["start_line", "qualified_name"], None, f"{path!r} has no symbols; paths start at the root of the tree", max_tokens)
 
     def repo_map(self, max_tokens: int = budget.MAX_TOKENS) -> str:
         rows = lookups.repo_map(self.store.read())
-        return self._answer(rows, budget.map_line(), [F.desc("incoming_refs"), "path"], None, "the index is empty", max_tokens)
+        return self._answer(rows, budget.map_line(), [F.desc("incoming_refs"), "path"], None, "the index has no files", max_tokens)
 
     def tools(self) -> dict:
         """The five read-only lookups by name, for agents."""

@@ -414,7 +414,7 @@ BAD_TASKS = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('b', 'bad split'), ('c', 'bad check type'), ('d', 'location needs a file'), ('e', 'bad line window'), ('f', 'contains_all needs values'), ('g', 'regex needs a pattern'), ('h', 'empty question'), ('a', 'duplicate id')) v(id, problem)")
+@query("SELECT * FROM (VALUES ('b', 'unknown split'), ('c', 'unknown check'), ('d', 'file is missing'), ('e', 'lines out of order'), ('f', 'values are missing'), ('g', 'pattern is missing'), ('h', 'question is blank'), ('a', 'id is used twice')) v(id, problem)")
 def task_problems(spark, sf_dir):
     return evaluation.task_problems(tasks(spark, BAD_TASKS))
 
@@ -468,7 +468,10 @@ def import_candidates(spark, sf_dir):
     return rows.select("language", "target", "importing", F.array_join(F.transform(found, lambda c: F.concat(c["path"], F.lit("#"), c["name"])), " ").alias("candidates"))
 
 
-@query()
+FOUND = [(p, "symbol", *rest) for p, *rest in samples.SYMBOLS] + [(p, "reference", name, None, None, line, line, None, None) for p, name, line in samples.REFERENCES]
+
+
+@query(_values(FOUND, "path, what, name, qualified_name, kind, start_line, end_line, signature, parent"))
 def extract_udtf(spark, sf_dir):
     """The scanners as a SQL table function."""
     from sparkindex.operators.extraction import register_table_function
@@ -613,7 +616,7 @@ TOOLS = [
     ("find_definition", "total  function  shop/prices.py:5  def total(items)"),
     ("find_references", "shop/cart.py:20  add_up  [import]  -> total (shop/prices.py)\nshop/prices.py:8  total  [exact]  -> total (shop/prices.py)"),
     ("outline_file", "1  Tax  class  class Tax\n2  Tax.rate  const\n5  total  function  def total(items)\n11  fmt  function  def fmt(x)"),
-    ("missing", "sparkindex: no definition of 'nothing' in the index. Fall back to grep/ripgrep for this question; results may simply not be indexed yet."),
+    ("missing", "sparkindex: nothing defines 'nothing'. Try grep or ripgrep instead: the text may exist without being indexed."),
 ]
 
 

@@ -299,5 +299,5 @@ def test_command_line(spark, root, tmp_path, capsys):
     put(root, {"z.py": "q = 1\n"})
     assert run("check")[0] == 1
     said = facade.CodeIndex(spark, root, str(tmp_path / "cli"))
-    assert "Repo.save  method" in said.search_symbols("save") and "Fall back" in said.outline_file("gone.py")
-    assert facade.CodeIndex(spark, root, str(tmp_path / "none")).repo_map().startswith("sparkindex: no index")
+    assert "Repo.save  method" in said.search_symbols("save") and "Try grep" in said.outline_file("gone.py")
+    assert facade.CodeIndex(spark, root, str(tmp_path / "none")).repo_map().endswith("without being indexed.")
