@@ -16,18 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named in spark.checkpoint.dir.
 
-    Only where neither that setting nor the context names one (a local test) is a
-    temporary folder made.
+    Where neither that setting nor the context names one, it is a temporary folder in
+    local mode and the warehouse on a cluster, whose machines share no temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        option = context._jsc.sc().getCheckpointDir()
         if option.isDefined():
             named = option.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkindex-"))
+            named = context._jsc.sc().getCheckpointDir().get()
         else:
-            named = tempfile.mkdtemp(prefix="sparkindex-")
-            spark.sparkContext.setCheckpointDir(named)
-            named = option.get() if (option := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined() else named
+            named = spark.conf.get("spark.sql.warehouse.dir")
     return named.rstrip("/")
 
 
