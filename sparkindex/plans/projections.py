@@ -15,6 +15,8 @@ from sparkindex.operators.resolve import with_resolution
 
 NOW = 1_800_000_000.0
 IMPORTERS = 5
+#: Suppliers up to which their paths are broadcast (some 100 bytes each); more are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,8 @@ def star_relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     files_n = table(spark, sf_dir, "supplier").count()
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"), "p_type", "p_size", (F.col("p_partkey") % files_n).alias("home"))
     paths = star_paths(spark, sf_dir).select("suppkey", "path")
+    if files_n <= BROADCAST_ROWS:
+        paths = F.broadcast(paths)
     homes = part.join(paths, F.col("home") == F.col("suppkey")).select(part.columns + ["path"])
     defined = homes.select("path", "p_partkey", "name", F.concat("p_type", F.lit("."), "name").alias("qualified_name"), kind_of(F.col("p_type")).alias("kind"), (F.col("p_partkey") % 40 + 1).cast("int").alias("start_line"), (F.col("p_partkey") % 40 + 1 + F.col("p_size")).cast("int").alias("end_line"), F.lit(None).cast("string").alias("signature"))
     breadcrumb = F.concat(F.regexp_replace(F.regexp_replace("path", "\\.py$", ""), "/", "."), F.lit("."), "name")
