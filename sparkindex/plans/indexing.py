@@ -74,32 +74,35 @@ def build(spark: SparkSession, root: str, store: Store, now: float, max_bytes: i
 def refresh(spark: SparkSession, root: str, store: Store, paths: DataFrame, now: float, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Bring some paths (path) up to date; (path, outcome) of each. A version is published
     only if something changed, and with its references resolved."""
-    return _apply(store, read_paths(spark, root, paths, max_bytes), now, None)
+    return _apply(store, read_paths(spark, root, paths, max_bytes), now, False)
 
 
 def sweep(spark: SparkSession, root: str, store: Store, now: float, max_bytes: int = MAX_FILE_BYTES, use_git: bool = True) -> DataFrame:
     """Bring the whole tree up to date, reading every file but extracting changed ones only."""
-    current = read_tree(spark, root, max_bytes, use_git)
-    return _apply(store, current, now, current)
+    return _apply(store, read_tree(spark, root, max_bytes, use_git), now, True)
 
 
-def _apply(store: Store, current: DataFrame, now: float, whole: DataFrame | None) -> DataFrame:
+def _apply(store: Store, current: DataFrame, now: float, whole: bool) -> DataFrame:
+    """Publish what has changed; the outcomes are a table beside the snapshots, so that
+    the driver never holds one row for each file."""
     current = current.cache()
     try:
         index = store.read()
         found = outcomes(index.files, current)
-        if whole is not None:
+        if whole:
             found = found.unionByName(stale_paths(index, current).withColumn("outcome", F.lit("removed")))
-        found = found.cache()
+        found = store.keep(found, "outcomes")
         changed = found.where("outcome in ('updated', 'removed')")
-        if not changed.isEmpty():
-            updated = current.join(found.where("outcome = 'updated'").select("path"), "path", "left_semi")
-            store.write(replaced(index, changed, index_of(updated, now, store)))
-        rows = [(r.path, r.outcome) for r in found.toLocalIterator()]
-        found.unpersist()
+        kinds = {r["outcome"] for r in changed.select("outcome").distinct().collect()}
+        if kinds:
+            fresh = None
+            if "updated" in kinds:
+                updated = current.join(found.where("outcome = 'updated'").select("path"), "path", "left_semi")
+                fresh = index_of(updated, now, store)
+            store.write(replaced(index, changed, fresh))
     finally:
         current.unpersist()
-    return store.spark.createDataFrame(rows, "path string, outcome string")
+    return found
 
 
 def check(spark: SparkSession, root: str, store: Store, max_bytes: int = MAX_FILE_BYTES, use_git: bool = True) -> DataFrame:

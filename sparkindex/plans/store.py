@@ -64,7 +64,11 @@ class Store:
 
     def stage(self, frame: DataFrame) -> DataFrame:
         """Write an intermediate table under the root; the next publication removes it."""
-        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        return self.keep(frame, "staging")
+
+    def keep(self, frame: DataFrame, folder: str) -> DataFrame:
+        """Write a table into a folder of the root and read it back."""
+        path = f"{self.root}/{folder}/{uuid.uuid4().hex}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
@@ -88,9 +92,10 @@ class Store:
         return version
 
     def prune(self, keep: int = 2) -> None:
-        """Delete all but the newest versions."""
+        """Delete all but the newest versions, and old outcomes."""
         fs = self._fs()
         for version in self.versions()[:-keep]:
             folder = self.manifest(version)["folder"]
             fs.delete(self._path(f"manifests/{version:012d}.json"), False)
             fs.delete(self._path(folder), True)
+        fs.delete(self._path("outcomes"), True)
