@@ -10,9 +10,9 @@ gathers in one task.
 A search window is `size` consecutive words of an item; an item of fewer words, but not
 none, is one window. Per shard a window starts from the places of its rarest word,
 moved back by that word's offset, and intersects the lists of the other words, moved
-likewise, from rare to common. A place where all lists agree is an exact match; a place
-where each list has an entry within `slop` words of where it should be is a proximity
-match. The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; with more
+likewise, from rare to common. A start from which every word stands at its offset is an
+exact match; a start for which every word stands within `slop` words of its offset is a
+proximity match. Neither depends on how documents are sharded. The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; with more
 than one block, the hits of a document are united afterwards.
 
 A null or empty text has no words and is clean. Repeated rows and ids each keep their
@@ -136,13 +136,15 @@ class Matcher:
         highs = np.where(of >= 0, begin[of + 1], 0)
         frequency = highs - lows
         slop = self.slop
+        shifts = np.arange(-slop, slop + 1)[:, None]  # the rarest word itself may be displaced
         for ks, window in self.groups:
             many = frequency[window]
             for row in np.flatnonzero(many.min(axis=1) > 0):
                 order = np.argsort(many[row], kind="stable")
                 rarest = window[row, order[0]]
-                starts = places[lows[rarest] : highs[rarest]] - order[0]
-                exact = np.ones(len(starts), bool)
+                found = places[lows[rarest] : highs[rarest]] - order[0]
+                starts = (found + shifts).ravel()
+                exact = np.repeat(shifts.ravel() == 0, len(found))
                 for at in order[1:]:
                     term = window[row, at]
                     listed = places[lows[term] : highs[term]]
@@ -187,7 +189,8 @@ def _search_block(index: DataFrame, items: list[tuple[str, str | None]], size: i
                     begins = at[exact]
                     np.add.at(covered, begins, 1)
                     np.add.at(covered, begins + len(window), -1)
-                    for group, docs in ((exact_of, begins), (near_of, at[~exact])):
+                    # a displaced start may lie before its document, never beyond the gap
+                    for group, docs in ((exact_of, begins), (near_of, at[~exact] + slop)):
                         for d in np.unique(np.searchsorted(starts, docs, "right") - 1):
                             group[int(d)].update(of)
                 hit = np.cumsum(covered) > 0

@@ -33,7 +33,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -107,7 +106,21 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+        i AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k + 1:k + least(len(w), 10)], ' ') AS phrase FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),
+        s AS (SELECT DISTINCT n FROM i),
+        g AS (SELECT doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, s WHERE len(w) >= n)),
+        m AS (SELECT DISTINCT doc_id, item, g.n, k FROM g JOIN i ON g.n = i.n AND g.phrase = i.phrase),
+        h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),

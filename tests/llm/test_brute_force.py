@@ -179,6 +179,24 @@ def test_contamination_in_blocks_and_proximity(spark):
     assert whole[2][3] == ["10"] and whole[3][3] == []
 
 
+def test_proximity_does_not_depend_on_shards(spark):
+    draw = random.Random(2)
+    docs = {k: " ".join(draw.choice("abcdefgh") for _ in range(30)) for k in range(40)}
+    items = {k: " ".join(draw.choice("abcdefgh") for _ in range(4)) for k in range(12)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+
+    def near(words, window, slop):
+        return any(all(w in words[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, w in enumerate(window)) for s in range(-slop, len(words) + slop))
+
+    for size in (60, 10_000):
+        for r in positional.search(positional.build_index(frame, shard_bytes=size), benchmark, slop=2).collect():
+            words = docs[r.id].split()
+            exact = {str(i) for i, t in items.items() if f" {t} " in f" {docs[r.id]} "}
+            expected = {str(i) for i, t in items.items() if near(words, t.split(), 2)} - exact
+            assert set(r["items"]) == exact and set(r.near_items) == expected
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "<p>same</p>" * 200, "é " * 600
     rows = [(1, "http://a/ b?c=%20\r\nX: y", big), (5, None, big), (3, "http://é/", big), (4, "u", "<p>small</p>"), (6, "u", "<p>small</p>"), (7, "u", None), (8, "u", other), (None, "n", big), (5, "twice", big)]
