@@ -55,6 +55,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of texts that a Python worker is sent at a time.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches bounded by bytes as well as by rows, so that long texts
+    need no more memory than short ones. A bound the session sets itself is kept."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

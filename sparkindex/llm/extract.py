@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkindex.llm.common import materialize
+from sparkindex.llm.common import map_batches, materialize
 
 #: Share of a host's pages that must have a node, and share of those that must agree on its text.
 SEEN, AGREE = 0.5, 0.9
@@ -400,7 +400,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([pickle.dumps(wrapper)], pa.binary())})
 
     rows = pages.select(_host(pages[url_col]).alias("host"), pages[html_col].alias("html"))
-    parts = materialize(rows.mapInArrow(partial, "host string, part int, wrapper binary"), "wrappers")
+    parts = materialize(map_batches(rows, partial, "host string, part int, wrapper binary"), "wrappers")
     most = parts.agg(F.max("part")).first()[0] or 0
     groups = max(1, round((most + 1) ** 0.5))
     some = parts.groupBy("host", F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(together, "host string, wrapper binary")
@@ -428,4 +428,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), _host(pages[url_col]).alias("host"))
     joined = rows.join(wrappers.hint("shuffle_hash"), "host", "left")
     schema = T.StructType([T.StructField("id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    return joined.select("id", "url", "html", "host", "wrapper").mapInArrow(run, schema)
+    return map_batches(joined.select("id", "url", "html", "host", "wrapper"), run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkindex.llm.common import map_batches
 from sparkindex.llm.positional import words_of
 
 #: Base phrases and their labels (fixed values).
@@ -244,7 +245,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     strings = T.ArrayType(T.StringType())
     fields = [("id", kind), ("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", strings), ("labels", strings), ("score", T.DoubleType())]
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
+    return map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, T.StructType([T.StructField(n, k) for n, k in fields]))
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkindex.llm.common import materialize
+from sparkindex.llm.common import map_batches, materialize
 
 CAPACITY = 2048
 END = 0
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     fields = [T.StructField("id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, T.StructType(fields))
+    return map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, T.StructType(fields))
 
 
 def fullest(room: int, lengths: list[int], left: dict[int, int]) -> dict[int, int]:
@@ -191,7 +191,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
     fields = [*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.mapInArrow(place, T.StructType(fields))
+    return map_batches(ranked, place, T.StructType(fields))
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkindex.llm.common import materialize
+from sparkindex.llm.common import map_batches, materialize
 
 SIZE = 10
 SLOP = 2
@@ -103,7 +103,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             T.StructField("places", T.BinaryType()),
         ]
     )
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, schema)
 
 
 def windows_of(items: list[tuple[str, str | None]], size: int = SIZE) -> tuple[list[bytes], list[tuple[tuple[int, ...], list[str]]]]:
@@ -219,7 +219,7 @@ def _search_block(index: DataFrame, items: list[tuple[str, str | None]], size: i
     fields = [("id", kind), ("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", strings), ("near_items", strings)]
     if merge:
         fields += [("ordinal", T.LongType()), ("places", T.ArrayType(T.LongType())), ("shard", T.StringType())]
-    return index.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
+    return map_batches(index, run, T.StructType([T.StructField(n, k) for n, k in fields]))
 
 
 def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = SIZE, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkindex.llm.common import materialize
+from sparkindex.llm.common import map_batches, materialize
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -105,7 +105,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "x"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, schema)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

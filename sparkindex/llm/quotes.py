@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkindex.llm.common import discard, materialize
+from sparkindex.llm.common import discard, map_batches, materialize
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 _ATTRIBUTION = re.compile(r"(?:on|am|le|el)\b.{0,200}\b(?:wrote|writes|said|schrieb|écrit|escribió)[ \t]*:[ \t]*\Z|.{1,100}\b(?:wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t]*\Z", re.I)
@@ -83,7 +83,7 @@ def parse_messages(messages: DataFrame, conv_col: str, turn_col: str, role_col:
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(own, pa.string()), pa.array(found, kind)], [*kept.schema.names, "text", "passages"])
 
     rows = messages.select(F.monotonically_increasing_id().alias("row"), messages[conv_col].cast("long").alias("conv"), messages[turn_col].cast("long").alias("turn"), messages[role_col].cast("string").alias("role"), messages[text_col].alias("text"))
-    return rows.mapInArrow(run, "row long, conv long, turn long, role string, text string, passages array<struct<level:int,hash:long,size:long>>")
+    return map_batches(rows, run, "row long, conv long, turn long, role string, text string, passages array<struct<level:int,hash:long,size:long>>")
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkindex.llm.common import components, materialize
+from sparkindex.llm.common import components, map_batches, materialize
 
 SEED = 42
 WORDS = 4
@@ -70,7 +70,7 @@ def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+    return map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")), run, schema)
 
 
 def block_widths(radius: int) -> list[int]:

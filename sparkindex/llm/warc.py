@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkindex.llm.common import materialize
+from sparkindex.llm.common import map_batches, materialize
 
 LEAST_BYTES = 1000
 LEVEL = 3
@@ -172,7 +172,7 @@ def write_archives(decided: DataFrame, path: str) -> None:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
 
-    frames = decided.select("id", "url", "html", "refers_to").mapInArrow(run, "frame binary")
+    frames = map_batches(decided.select("id", "url", "html", "refers_to"), run, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode()).text(path)
 
 
@@ -206,4 +206,4 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = False) -> Da
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * with_html
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, kinds)
+    return map_batches(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"), run, kinds)
