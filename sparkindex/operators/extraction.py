@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkindex.extract import extract
+from sparkindex.functions.batches import arrow_map
 from sparkindex.model import file_id, symbol_id
 
 _SYMBOL = pa.struct([("ordinal", pa.int32()), ("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("parent_ordinal", pa.int32())])
@@ -40,7 +41,7 @@ def extracted(sources: DataFrame) -> DataFrame:
                 refs.append([{"name": n, "line": at} for n, at in found])
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(symbols, pa.list_(_SYMBOL)), pa.array(refs, pa.list_(_REFERENCE))], ["path", "symbols", "refs"])
 
-    return sources.select("path", "language", "content").mapInArrow(run, SCHEMA)
+    return arrow_map(sources.select("path", "language", "content"), run, SCHEMA)
 
 
 def symbols_of(found: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkindex.functions.batches import arrow_map
+
 MOST_HITS = 50
 SHOWN = 160
 
@@ -35,7 +37,7 @@ def grep(texts: DataFrame, pattern: str, key: str = "path", text: str = "text",
             for batch in batches:
                 yield batch.filter(pa.array([found.search(x.as_py()) is not None for x in batch.column("line")], pa.bool_()))
 
-        hits = rows.mapInArrow(run, rows.schema)
+        hits = arrow_map(rows, run, rows.schema)
     else:
         hits = rows.where(F.col("line").rlike(pattern))
     return hits.select(key, "n", F.substring(F.trim("line"), 1, SHOWN).alias("shown"))

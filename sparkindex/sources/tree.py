@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sparkindex.functions.hashing import content_hash
 from sparkindex.model import IGNORED, LANGUAGES, MAX_FILE_BYTES
 
-#: A task reads files until it has this many bytes or files.
-SPLIT_BYTES, SPLIT_FILES = 32 << 20, 2000
+#: Files that one task reads, at most; each is at most the size cap.
+SPLIT_FILES = 500
 SCHEMA = "path string, language string, content_hash string, mtime double, length long, content binary, state string"
 
 

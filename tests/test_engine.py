@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import io
 import json
 import os
@@ -301,3 +302,16 @@ def test_command_line(spark, root, tmp_path, capsys):
     said = facade.CodeIndex(spark, root, str(tmp_path / "cli"))
     assert "Repo.save  method" in said.search_symbols("save") and "Try grep" in said.outline_file("gone.py")
     assert facade.CodeIndex(spark, root, str(tmp_path / "none")).repo_map().endswith("without being indexed.")
+
+
+def test_other_schema_version_is_rebuilt(spark, root, store):
+    indexing.build(spark, root, store, 1.0)
+    path = f"{store.root}/manifests/{store.versions()[-1]:012d}.json"
+    with open(path, encoding="utf-8") as f:
+        manifest = json.load(f)
+    for checksum in glob.glob(f"{store.root}/manifests/.*.crc"):
+        os.remove(checksum)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(manifest | {"schema_version": 0}, f)
+    assert not store.exists() and store.read().files.isEmpty()
+    assert indexing.build(spark, root, store, 2.0).indexed == 4 and store.exists()
