@@ -9,6 +9,7 @@ import os
 import shutil
 import sqlite3
 import subprocess
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -315,3 +316,17 @@ def test_other_schema_version_is_rebuilt(spark, root, store):
         json.dump(manifest | {"schema_version": 0}, f)
     assert not store.exists() and store.read().files.isEmpty()
     assert indexing.build(spark, root, store, 2.0).indexed == 4 and store.exists()
+
+
+def test_periodic_sweep_makes_good_lost_events(spark, root, store, tmp_path):
+    indexing.build(spark, root, store, 1.0)
+    put(root, {"late.py": "def unseen(): pass\n"})
+    query = watch.sweep_every(spark, root, store, str(tmp_path / "sweep"), "2 seconds")
+    try:
+        for _ in range(60):
+            if lookups.find_definition(store.read(), "unseen").count():
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert lookups.find_definition(store.read(), "unseen").count() == 1 and query.exception() is None
