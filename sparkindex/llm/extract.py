@@ -9,6 +9,12 @@ with nearly always the same text, is template; nodes whose text varies are slots
 slots are content. Partial wrappers of partitions are merged by the same alignment, in
 two steps, so a host with most of the pages is spread over all partitions.
 
+Counts are over articles, not pages: copies and near copies of a page say nothing about
+the template. A page has two marks, each the block that is least by a hash weighted with
+the square of its length (two pages share a mark as likely as they share text, long
+blocks above all), and of pages of a host that share the first mark, and then of those
+left that share the second, one is learnt from.
+
 The main text is then read from the page: the container is the largest article element,
 else main, else the block that holds most of the varying text; navigation, page headers
 and footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
@@ -24,6 +30,7 @@ keep their own row whatever repeats; a null url belongs to the host "".
 from __future__ import annotations
 
 import html as entities
+import math
 import pickle
 import re
 from collections.abc import Iterator
@@ -35,7 +42,7 @@ from pyspark.sql import types as T
 
 from sparkindex.llm.common import map_batches, materialize
 
-#: Share of a host's pages that must have a node, and share of those that must agree on its text.
+#: Share of a host's articles that must have a node, and share of those that must agree on its text.
 SEEN, AGREE = 0.5, 0.9
 LEAST_PAGES = 5
 #: Bounds of a wrapper, which is a model of the host and not of its pages' lengths.
@@ -216,6 +223,28 @@ def as_slots(node: Node, room: list[int]) -> Slot:
     return Slot(node.label, _hash(node.own()), 1, 1, children)
 
 
+def marks(page: Node) -> tuple[int, int]:
+    """Two blocks of the page's text, by which copies and near copies of it are known."""
+    import xxhash
+
+    blocks: dict[int, int] = {}
+
+    def visit(node: Node) -> None:
+        text = node.own()
+        if text:
+            blocks[_hash(text)] = len(text)
+        for child in node.children:
+            if not child.noise:
+                visit(child)
+
+    visit(page)
+    found = []
+    for seed in (1, 2):
+        scores = ((-math.log((xxhash.xxh64_intdigest(h.to_bytes(8, "big"), seed) + 1) / 2**64) / n**2, h) for h, n in blocks.items())
+        found.append(min(scores, default=(0, 0))[1] >> 1)
+    return found[0], found[1]
+
+
 def pairing(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two lists of siblings: the weight and the matched pairs."""
     m, n = len(a), len(b)
@@ -374,6 +403,17 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     """(host, wrapper) for each host."""
     spark = pages.sparkSession
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, source in zip(*batch.columns, strict=True):
+                source = source.as_py()
+                if source:
+                    page = parse(source)
+                    rows.append((host.as_py(), *marks(page), pickle.dumps(as_slots(page, [MOST_NODES]))))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["host", "m1", "m2", "tree"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -384,13 +424,12 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
             return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([part] * len(wrappers), pa.int32()), pa.array([pickle.dumps(w) for w in wrappers.values()], pa.binary())], ["host", "part", "wrapper"])
 
         for batch in batches:
-            for host, source in zip(*batch.columns, strict=True):
-                host, source = host.as_py(), source.as_py()
-                if source:
-                    wrappers[host] = learn(wrappers.get(host), as_slots(parse(source), [MOST_NODES]))
-                    if len(wrappers) >= HOSTS_AT_ONCE:
-                        yield out()
-                        wrappers.clear()
+            for host, tree in zip(*batch.columns, strict=True):
+                host = host.as_py()
+                wrappers[host] = learn(wrappers.get(host), pickle.loads(tree.as_py()))
+                if len(wrappers) >= HOSTS_AT_ONCE:
+                    yield out()
+                    wrappers.clear()
         yield out()
 
     def together(key: tuple, table: pa.Table) -> pa.Table:
@@ -400,7 +439,9 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([pickle.dumps(wrapper)], pa.binary())})
 
     rows = pages.select(_host(pages[url_col]).alias("host"), pages[html_col].alias("html"))
-    parts = materialize(map_batches(rows, partial, "host string, part int, wrapper binary"), "wrappers")
+    trees = map_batches(rows, read, "host string, m1 long, m2 long, tree binary")
+    articles = trees.groupBy("host", "m1").agg(F.min(F.struct("tree", "m2")).alias("t")).groupBy("host", "t.m2").agg(F.min("t.tree").alias("tree"))
+    parts = materialize(map_batches(articles.select("host", "tree"), partial, "host string, part int, wrapper binary"), "wrappers")
     most = parts.agg(F.max("part")).first()[0] or 0
     groups = max(1, round((most + 1) ** 0.5))
     some = parts.groupBy("host", F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(together, "host string, wrapper binary")

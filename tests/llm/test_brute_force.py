@@ -371,6 +371,29 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r.text for r in extract.main_texts(pages).collect()} == {"T\n\nsame text"}
 
 
+def article(head, paragraphs):
+    return "<body><div><p>Part of the Example Network</p></div><article><h1>" + head + "</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body>"
+
+
+@pytest.mark.parametrize("kind", ["exact", "near", "mostly near"])
+def test_copies_among_other_pages_keep_their_text(spark, kind):
+    """What only copies of one article share is not template, be they exact or not."""
+    many, others = (95, 12) if kind == "mostly near" else (6, 4)
+    rows, want = [], {}
+    for k in range(many + others):
+        if k < many:
+            blocks = [f"Shared paragraph {j} that all copies have " * 4 for j in range(10)]
+            if kind != "exact":
+                blocks[k % 10] = f"Only copy {k} says this in its own paragraph " * 4
+            head = "Copied"
+        else:
+            head, blocks = f"Other {k}", [f"Article {k} has its paragraph {j} to itself " * 4 for j in range(3)]
+        rows.append((k, "http://copies.example/", article(head, blocks)))
+        want[k] = "\n\n".join([head, *(b.strip() for b in blocks)])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.id: r.text for r in extract.main_texts(pages).collect()} == want
+
+
 def test_main_text_query(spark):
     import html
 
