@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkindex.llm import extract, licenses, packing, positional, quotes, sharding, simhash, sketch, warc
+from sparkindex.llm import extract, licenses, minhash, packing, pipeline, positional, quotes, sharding, simhash, sketch, warc
 from sparkindex.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +61,47 @@ def test_simhash_query(spark, docs):
     assert got == {d: (f"{prints[d]:016x}", root[d]) for d in ids}
 
 
+def near_copies(seed=7):
+    """Texts and copies of them with words replaced, so that many have similarity about 0.8."""
+    rng = random.Random(seed)
+    texts = [None, "", " \t", "one two", "One  two", "one two three"]
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.001, 0.035))):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    words = [f"v{k}" for k in range(200)]
+    texts += [" ".join(words[:k] + [f"y{k}"] + words[k + 1 :]) for k in range(150)]  # one large group
+    return texts
+
+
+def five_word_sets(texts):
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return sets
+
+
+def test_near_duplicate_stage(spark, docs):
+    """The stage keeps the first of each group that five-word similarity 0.8 connects."""
+    texts = near_copies() + [docs[d] for d in sorted(docs)]
+    sets = five_word_sets(texts)
+    pairs = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                pairs.append((i, j))
+    assert sum(0.8 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.9 for i, j in pairs if sets[i]) > 20
+    root = roots(range(len(texts)), pairs)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    left = pipeline.one_of_each_group(spark, table, SF).collect()
+    assert sorted(r.doc_id for r in left) == sorted({*root.values()})
+
+
 @pytest.mark.parametrize("crowd", [2, 10_000])
 def test_links_in_dense_balls(spark, crowd):
     """Crowded buckets give the same components as pairs do."""
