@@ -2,8 +2,10 @@
 
 Pages of one host are made by one template. Each page becomes a tree of its block
 elements; a host's wrapper is a tree too, and pages are aligned to it one after another
-by simple tree matching: equal labels match, and the children of matched nodes by the
-order-preserving pairing of greatest weight. Every wrapper node counts how often it was
+by simple tree matching: equal labels match, equal texts better, and the children of
+matched nodes by the order-preserving pairing of greatest weight; long lists of siblings
+are first cut at texts that both have once. Noise is left out, all else of a page is aligned,
+and a large wrapper loses nodes that less than a tenth of its articles have. Every wrapper node counts how often it was
 seen and how often with the same text. A node that nearly every page of the host has,
 with nearly always the same text, is template; nodes whose text varies are slots, and
 slots are content. Partial wrappers of partitions are merged by the same alignment, in
@@ -33,6 +35,7 @@ import html as entities
 import math
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,8 +48,10 @@ from sparkindex.llm.common import map_batches, materialize
 #: Share of a host's articles that must have a node, and share of those that must agree on its text.
 SEEN, AGREE = 0.5, 0.9
 LEAST_PAGES = 5
-#: Bounds of a wrapper, which is a model of the host and not of its pages' lengths.
-MOST_NODES, MOST_CHILDREN = 400, 48
+#: Nodes from which a wrapper loses those that are too rare to become template, and their share.
+MANY_NODES, RARE = 400, 0.1
+#: Pairs of siblings that are weighed one by one; longer lists are aligned by texts and labels.
+MOST_CELLS = 16 * 16
 HOSTS_AT_ONCE = 2000
 #: Blocks nested deeper than this are read as following one another.
 MOST_DEEP = 120
@@ -193,10 +198,10 @@ def parse(source: str) -> Node:
 class Slot:
     """A wrapper node."""
 
-    __slots__ = ("agree", "children", "label", "seen", "text")
+    __slots__ = ("agree", "children", "label", "node", "seen", "text")
 
-    def __init__(self, label: str, text: int, seen: int, agree: int, children: list[Slot]):
-        self.label, self.text, self.seen, self.agree, self.children = label, text, seen, agree, children
+    def __init__(self, label: str, text: int, seen: int, agree: int, children: list[Slot], node: Node | None = None):
+        self.label, self.text, self.seen, self.agree, self.children, self.node = label, text, seen, agree, children, node
 
     def count(self) -> int:
         return 1 + sum(c.count() for c in self.children)
@@ -211,16 +216,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) if text else 0
 
 
-def as_slots(node: Node, room: list[int]) -> Slot:
-    """A page's tree as a wrapper of one page; room is what may still be added."""
-    room[0] -= 1
-    children = []
-    for child in node.children[:MOST_CHILDREN]:
-        if room[0] <= 0:
-            break
-        if child.tag != "head":
-            children.append(as_slots(child, room))
-    return Slot(node.label, _hash(node.own()), 1, 1, children)
+def as_slots(node: Node) -> Slot:
+    """A page's tree without noise, as a wrapper of one page."""
+    return Slot(node.label, _hash(node.own()), 1, 1, [as_slots(child) for child in node.children if not child.noise], node)
 
 
 def marks(page: Node) -> tuple[int, int]:
@@ -245,12 +243,19 @@ def marks(page: Node) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def pairing(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of siblings: the weight and the matched pairs."""
+def _alike(x: Slot, y: Slot) -> bool:
+    return x.text == y.text != 0 and x.label == y.label
+
+
+def pairing(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+    """Tree matching of two lists of siblings: the weight and the matched pairs."""
     m, n = len(a), len(b)
     if not m or not n:
         return 0, []
-    weights = [[(1 + pairing(x.children, y.children)[0] if x.children and y.children else 1) if x.label == y.label else 0 for y in b] for x in a]
+    if m * n > MOST_CELLS:
+        pairs = _long_pairing(a, b)
+        return sum(1 + _alike(a[i], b[j]) for i, j in pairs), pairs
+    weights = [[(1 + _alike(x, y) + (pairing(x.children, y.children)[0] if x.children and y.children else 0)) if x.label == y.label else 0 for y in b] for x in a]
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
         row, above, weight = best[i + 1], best[i], weights[i]
@@ -275,7 +280,61 @@ def pairing(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[m][n], pairs[::-1]
 
 
-def merge(into: Slot, other: Slot, room: list[int]) -> None:
+def _long_pairing(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+    """The pairs of the longest run of texts that both lists have once, and between those
+    the pairing of what is left."""
+    found: dict[tuple[str, int], list[list[int]]] = {}
+    for side, slots in enumerate((a, b)):
+        for k, slot in enumerate(slots):
+            if slot.text:
+                found.setdefault((slot.label, slot.text), [[], []])[side].append(k)
+    once = sorted((x[0], y[0]) for x, y in found.values() if len(x) == len(y) == 1)
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(once)
+    for k, (_, j) in enumerate(once):
+        at = bisect_left(tails, j)
+        before[k] = ends[at - 1] if at else -1
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    fixed, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        fixed.append(once[k])
+        k = before[k]
+    pairs, i, j = [], 0, 0
+    for x, y in [*fixed[::-1], (len(a), len(b))]:
+        cells = (x - i) * (y - j)
+        inner = _by_label(a[i:x], b[j:y]) if cells > MOST_CELLS else pairing(a[i:x], b[j:y])[1]
+        pairs += [(i + p, j + q) for p, q in inner]
+        if x < len(a) and y < len(b):
+            pairs.append((x, y))
+        i, j = x + 1, y + 1
+    return pairs
+
+
+def _by_label(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+    """A longest common subsequence of the labels, a row of bits at a time."""
+    masks: dict[str, int] = {}
+    for j, slot in enumerate(b):
+        masks[slot.label] = masks.get(slot.label, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for slot in a:
+        row = rows[-1]
+        hit = row & masks.get(slot.label, 0)
+        rows.append(((row + hit) | (row - hit)) & full)
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                pairs.append((i, j))
+    return pairs[::-1]
+
+
+def merge(into: Slot, other: Slot) -> None:
     """Align other with a wrapper and add its counts; what is new is inserted in order."""
     into.seen += other.seen
     if other.text == into.text:
@@ -284,7 +343,7 @@ def merge(into: Slot, other: Slot, room: list[int]) -> None:
         into.text, into.agree = other.text, other.agree
     _, pairs = pairing(into.children, other.children)
     for i, j in pairs:
-        merge(into.children[i], other.children[j], room)
+        merge(into.children[i], other.children[j])
     matched = {j: i for i, j in pairs}
     if len(matched) < len(other.children):
         merged, at = [], 0
@@ -292,16 +351,23 @@ def merge(into: Slot, other: Slot, room: list[int]) -> None:
             if j in matched:
                 merged += into.children[at : matched[j] + 1]
                 at = matched[j] + 1
-            elif room[0] > 0 and len(into.children) + 1 <= MOST_CHILDREN:
-                room[0] -= child.count()
+            else:
                 merged.append(child)
         into.children = merged + into.children[at:]
 
 
+def thin(wrapper: Slot, least: float) -> None:
+    wrapper.children = [c for c in wrapper.children if c.seen >= least]
+    for child in wrapper.children:
+        thin(child, least)
+
+
 def learn(wrapper: Slot | None, page: Slot) -> Slot:
     if wrapper is None:
         return page
-    merge(wrapper, page, [MOST_NODES - wrapper.count()])
+    merge(wrapper, page)
+    if wrapper.seen >= 2 / RARE and (page.seen > 1 or wrapper.seen % 16 == 0) and wrapper.count() > MANY_NODES:
+        thin(wrapper, RARE * wrapper.seen)
     return wrapper
 
 
@@ -313,19 +379,17 @@ def constants(page: Node, wrapper: Slot | None) -> tuple[set[int], set[int]]:
         return fixed, slots
     pages = wrapper.seen
 
-    def visit(node: Node, slot: Slot) -> None:
-        text = node.own()
-        if text:
+    def visit(one: Slot, slot: Slot) -> None:
+        if one.text:
             same = slot.seen >= SEEN * pages and slot.agree >= AGREE * slot.seen
             if not same:
-                slots.add(id(node))
-            elif _hash(text) == slot.text:
-                fixed.add(id(node))
-        children = [c for c in node.children if c.tag != "head"]
-        for i, j in pairing(children, slot.children)[1]:
-            visit(children[i], slot.children[j])
-
-    visit(page, wrapper)
+                slots.add(id(one.node))
+            elif one.text == slot.text:
+                fixed.add(id(one.node))
+        for i, j in pairing(one.children, slot.children)[1]:
+            visit(one.children[i], slot.children[j])
+
+    visit(as_slots(page), wrapper)
     return fixed, slots
 
 
@@ -410,7 +474,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
                 source = source.as_py()
                 if source:
                     page = parse(source)
-                    rows.append((host.as_py(), *marks(page), pickle.dumps(as_slots(page, [MOST_NODES]))))
+                    rows.append((host.as_py(), *marks(page), pickle.dumps(as_slots(page))))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["host", "m1", "m2", "tree"])
 

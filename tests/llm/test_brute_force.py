@@ -435,6 +435,19 @@ def test_copies_among_other_pages_keep_their_text(spark, kind):
     assert {r.id: r.text for r in extract.main_texts(pages).collect()} == want
 
 
+@pytest.mark.parametrize("least", [60, 150])
+def test_template_around_long_articles(spark, least):
+    """Template before and after many paragraphs is known, whatever menu stands first."""
+    menu = "<nav><ul>" + "".join(f"<li>Entry {k}</li>" for k in range(500)) + "</ul></nav>"
+    rows, want = [], {}
+    for k in range(25):
+        blocks = [f"Article {k} has paragraph {j} of its own" for j in range(least + k * 7 % 13)]
+        rows.append((k, "http://long.example/", "<body>" + menu + "<article>" + "".join(f"<p>{b}</p>" for b in ["Always first", *blocks, "Always last"]) + "</article></body>"))
+        want[k] = "\n\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.id: r.text for r in extract.main_texts(pages).collect()} == want
+
+
 def test_main_text_query(spark):
     import html
 
