@@ -57,7 +57,7 @@ SENTENCES = [
     ("gpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("agpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("gfdl", "invariant sections", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("apache-2.0", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),

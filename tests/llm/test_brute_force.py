@@ -362,6 +362,12 @@ def test_license_rules():
     assert scan("a permissive text")[5:] == ([], 0.0)
 
 
+def test_sentences_are_gated_by_their_own_words():
+    assert [label for label, keyword, pattern in licenses.SENTENCES if keyword not in pattern] == []
+    text = "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"
+    assert licenses.Scanner().scan(text)[5:] == (["gfdl"], 0.99)
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "a", "First point.\n\nSecond point here."),
