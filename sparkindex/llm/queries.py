@@ -33,6 +33,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join("near_items", ",").alias("near_items"),
     )
 
 
@@ -117,9 +118,17 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, s WHERE len(w) >= n)),
         m AS (SELECT DISTINCT doc_id, item, g.n, k FROM g JOIN i ON g.n = i.n AND g.phrase = i.phrase),
         h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY 1),
-        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM d),
+        f AS (SELECT word, count(*) AS many FROM p GROUP BY 1),
+        v AS (SELECT item, n, phrase, unnest(string_split(phrase, ' ')) AS word, unnest(range(n)) AS o FROM i),
+        r AS (SELECT item, phrase, arg_min(word, many * 100 + o) AS word, arg_min(o, many * 100 + o) AS o FROM v JOIN f USING (word) GROUP BY ALL),
+        c AS (SELECT DISTINCT doc_id, item, phrase, place - o + shift AS s0 FROM p JOIN r USING (word), (SELECT unnest(range(-2, 3)) AS shift)),
+        x AS (SELECT DISTINCT c.doc_id, c.item FROM c JOIN v ON c.item = v.item AND c.phrase = v.phrase JOIN p ON p.doc_id = c.doc_id AND p.word = v.word AND p.place BETWEEN c.s0 + v.o - 2 AND c.s0 + v.o + 2
+              GROUP BY c.doc_id, c.item, c.phrase, c.s0, v.n HAVING count(DISTINCT v.o) = v.n),
+        y AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT doc_id, item FROM x EXCEPT SELECT doc_id, item FROM m) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, '') AS near_items
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN y USING (doc_id)
     """,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -208,18 +208,30 @@ def test_contamination_query(spark, docs):
     assert any(r.contaminated for r in rows)
 
 
-def test_contamination_in_blocks_and_proximity(spark):
+def test_contamination_in_groups_and_proximity(spark):
     docs = {1: "a b c d e f", 2: "x a b z c d", 3: "c d a b", 4: "a b a b c d c d", 5: None}
-    items = [(10, "a b c d"), (11, "d e f"), (12, "q"), (13, "f")]
-    index = positional.build_index(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), shard_bytes=30)
+    items = [(10, "a b c d"), (11, "d e f"), (12, "q"), (13, "f"), (14, "q r a")]
+    index = positional.write_index(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), shard_bytes=30)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     whole = {r.id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in positional.search(index, benchmark, slop=1).collect()}
-    blocks = {r.id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in positional.search(index, benchmark, slop=1, block_bytes=20).collect()}
-    assert whole == blocks
+    groups = {r.id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in positional.search(index, benchmark, slop=1, group_windows=1).collect()}
+    assert whole == groups
     assert {d: v[:3] for d, v in whole.items()} == {d: (w, h, i) for d, (w, h, i) in plain_hits(docs, items).items()}
     assert whole[2][3] == ["10"] and whole[3][3] == []
 
 
+@pytest.mark.parametrize("group_windows", [1, 1000])
+def test_equal_shards_keep_their_rows(spark, group_windows):
+    """Partitions of equal content, ids and all, do not merge; nor do null ids."""
+    first = F.col("id") % 2 == 0
+    docs = spark.range(0, 8, 1, 4).select(F.when(~first, F.lit(3)).alias("doc_id"), F.when(first, "a b c d").otherwise("x y").alias("text"))
+    index = positional.write_index(docs)
+    assert index.select("shard").distinct().count() == 4
+    benchmark = spark.createDataFrame([(1, "b c"), (2, "d"), (3, "c d")], "item_id long, text string")
+    got = sorted(tuple(r[1:4]) for r in positional.search(index, benchmark, group_windows=group_windows).collect())
+    assert got == [(2, 0, [])] * 4 + [(4, 3, ["1", "2", "3"])] * 4
+
+
 def test_proximity_does_not_depend_on_shards(spark):
     draw = random.Random(2)
     docs = {k: " ".join(draw.choice("abcdefgh") for _ in range(30)) for k in range(40)}
@@ -231,7 +243,7 @@ def test_proximity_does_not_depend_on_shards(spark):
         return any(all(w in words[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, w in enumerate(window)) for s in range(-slop, len(words) + slop))
 
     for size in (60, 10_000):
-        for r in positional.search(positional.build_index(frame, shard_bytes=size), benchmark, slop=2).collect():
+        for r in positional.search(positional.write_index(frame, shard_bytes=size), benchmark, slop=2).collect():
             words = docs[r.id].split()
             exact = {str(i) for i, t in items.items() if f" {t} " in f" {docs[r.id]} "}
             expected = {str(i) for i, t in items.items() if near(words, t.split(), 2)} - exact
