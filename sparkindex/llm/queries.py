@@ -65,7 +65,7 @@ def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("edit")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
-        containment(F.col("edit"), F.col("own")).alias("edited_in_own"),
+        containment(F.col("edit.kept"), F.col("own.kept")).alias("edited_in_own"),
     )
 
 

@@ -299,54 +299,131 @@ def plain_shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
+def plain_sketch(text, scale=8):
+    """The sketch and the least hash, from the words' hashes."""
+    import xxhash
+
+    def of(shingle):
+        value = 42
+        for word in shingle:
+            value = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(word.encode(), 42).to_bytes(8, "little"), value)
+        return value >> 1
+
+    values = {of(x) for x in plain_shingles(text)}
+    return sorted(v for v in values if v < 2**63 // scale), min(values, default=None)
+
+
+def plain_print(text):
+    kept, least = plain_sketch(text)
+    return "".join(f"{v:016x}" for v in kept) if kept or least is None else f"~{least:016x}"
+
+
+def plain_likeness(a, b):
+    (a, least_a), (b, least_b) = plain_sketch(a), plain_sketch(b)
+    return len({*a} & {*b}) / len({*a} | {*b}) if a or b else float(least_a == least_b)
+
+
 def test_sketch_query(spark, docs):
     rows = {r.doc_id: r for r in QUERIES["op5_sketch"](spark, SF).collect()}
     order = sorted(docs, reverse=True)
-    miss_edited, miss_next = [], []
+    miss = []
     for k, d in enumerate(order):
         text, after = docs[d] or "", docs[order[(k + 1) % len(order)]] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         r = rows[d]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = map(plain_shingles, (text, edited, after))
-        miss_edited.append(abs(r.near_edited - len(a & b) / max(1, len(a | b))))
-        miss_next.append(abs(r.near_next - len(a & c) / max(1, len(a | c))))
-    assert np.mean(miss_edited) < 0.12 and np.mean(miss_next) < 0.02
-    by_text = defaultdict(set)
-    for d, r in rows.items():
-        by_text[docs[d]].add(r.fingerprint)
-    assert all(len(v) == 1 for v in by_text.values())
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(text), plain_print(edited))
+        assert (r.near_edited, r.near_next) == (plain_likeness(text, edited), plain_likeness(text, after))
+        a, b = plain_shingles(text), plain_shingles(edited)
+        miss.append(abs(r.near_edited - len(a & b) / max(1, len(a | b))))
+    assert np.mean(miss) < 0.12
+
 
+@pytest.mark.parametrize("ids", ["many", "large", "hot", "one"])
+def test_next_document_over_many_windows(spark, ids):
+    import xxhash
 
-def test_next_document_over_many_windows(spark):
     rows = [(k, f"t{k}") for k in range(200)] + [(50, "again"), (None, "null"), (120, "t120")]
+    if ids == "large":
+        rows = [(None if k is None else (1 << 62) + k, text) for k, text in rows]
+    if ids in ("hot", "one"):
+        rows += [(70 if ids == "hot" else None, f"hot {k % 90}") for k in range(150)]
+    if ids == "one":
+        rows = [(3, text) for _, text in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.text, r.next_text) for r in sketch.with_next(docs, window_bytes=40).collect()))
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
-    assert got == sorted((a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
-
-
-def test_sketches_merge(spark):
-    rows = [(1, "a b c d e f g h i j k l m n o p"), (2, "q r s t u v w x y z a1 b1 c1 d1"), (3, "")]
-    parts = spark.createDataFrame(rows, "id long, text string").select(sketch.sketch(F.col("text"), scale=1).alias("s"))
-    merged = parts.agg(sketch.merged(F.collect_list("s")).alias("m")).first().m
-    assert sorted(x for r in parts.collect() for x in r.s) == merged and len(merged) == 12 + 10
+    got = sorted((r.text, r.next_text, r.next_of) for r in sketch.with_next(docs, window_bytes=40, of_text=F.upper).collect())
+
+    def tie(text):
+        return xxhash.xxh64_intdigest(text.encode(), 42) >> 11
+
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), -tie(r[1])))
+    assert got == sorted((a[1], b[1], b[1].upper()) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_sketches_merge_and_contain(spark, docs):
+    """At the scale in use: parts merge to the whole, and an excerpt lies in its source."""
+    rows = [(k, " ".join(words[at : at + n]), text) for k, text in docs.items() for words in [re.findall(r"[^\x20\x09-\x0D]+", text or "")] for at in (0, 7, 40) for n in (9, 30, 200) if len(words) >= at + n]
+    found = spark.createDataFrame(rows, "id long, part string, text string").select("id", sketch.sketch(F.col("part")).alias("p"), sketch.sketch(F.col("text")).alias("s"))
+    inside = found.select("p", sketch.containment(F.col("p"), F.col("s")).alias("c")).collect()
+    assert all(r.c == (1.0 if r.p else None) for r in inside) and sum(r.c is None for r in inside) > 5 and len(inside) > 100
+    words = " ".join(f"w{k}" for k in range(900)).split()
+    parts = [" ".join(words[k : k + 104]) for k in range(0, 900, 100)]  # parts share four words, so that no shingle is lost
+    whole = spark.createDataFrame([(x,) for x in parts], "text string").agg(sketch.merged(F.collect_list(sketch.sketch(F.col("text")))).alias("m")).first().m
+    assert whole == plain_sketch(" ".join(words))[0] and len(whole) > 80
+
+
+def shards_of(rows, shards):
+    """What holds whatever the method: sizes, places without gaps, counts at most one apart;
+    returns the shards of each text."""
+    groups, slots = defaultdict(list), defaultdict(list)
+    for text, r in rows:
+        text = text or ""
+        assert (r["size"], r.text_crc32) == (len(text.encode()) + 8, zlib.crc32(text.encode()))
+        groups[text].append(r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(shards))
+    counts = [len(slots[k]) for k in range(shards)]
+    assert max(counts) - min(counts) <= 1
+    return groups
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shard_query(spark, sf):
+    """Every group of equal texts that is no larger than a shard is whole."""
+    path = f"/root/testdata/{sf}"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = QUERIES["op6_shards"](spark, path).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text) and {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    groups = shards_of([(text[r.doc_id], r) for r in rows], 24)
+    assert [t for t, v in groups.items() if len(set(v)) > 1 and len(v) <= len(text) // 24] == []
+    assert sum(len(v) > 1 for v in groups.values()) > 5
 
 
 def test_shards_keep_groups(spark):
     rows = [(k, f"text {k // 3}" if k < 300 else "hot" if k < 500 else f"single {k}") for k in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sharding.shard_documents(docs, shards=8).collect()
     text = dict(rows)
-    groups, shards = defaultdict(set), defaultdict(list)
-    for r in got:
-        groups[text[r.id]].add(r.shard)
-        shards[r.shard].append(r.slot)
-        assert (r.size, r.text_crc32) == (len(text[r.id]) + 8, zlib.crc32(text[r.id].encode()))
-    assert all(sorted(v) == list(range(125)) for v in shards.values()) and len(shards) == 8
-    small = [v for t, v in groups.items() if t.startswith("text")]
-    assert sum(len(v) == 1 for v in small) / len(small) > 0.85
+    groups = shards_of([(text[r.id], r) for r in sharding.shard_documents(docs, shards=8).collect()], 8)
+    assert [t for t, v in groups.items() if len(set(v)) > 1] == ["hot"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_pair_is_kept_together(spark, seed):
+    rows = [(k, "pair" if k in (seed * 7, 60 - seed) else f"single {k}") for k in range(72)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = shards_of([(dict(rows)[r.id], r) for r in sharding.shard_documents(docs).collect()], 24)
+    assert len(set(groups["pair"])) == 1 and len(groups["pair"]) == 2
+
+
+def test_given_links_lower_the_cut(spark):
+    """Chains of documents that are linked by others than equal texts move together."""
+    draw = random.Random(4)
+    rows = [(k, f"text {k}") for k in range(600)]
+    links = [(k, k + 1) for k in range(300) if k % 5 != 4] + [(draw.randrange(300), draw.randrange(300)) for _ in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {r.id: r.shard for r in sharding.shard_documents(docs, shards=6, links=spark.createDataFrame(links, "a long, b long")).collect()}
+    assert sum(at[a] != at[b] for a, b in links) / len(links) < 0.35
 
 
 def test_license_query(spark, docs):
