@@ -4,9 +4,10 @@ A text's words are the maximal runs of characters outside the ASCII separators,
 lower-cased; null counts as empty. Rules are regular expressions over the words joined by
 single spaces, so a match is a range of words. They are ordered: sentences of license
 texts first, then names with a version, then bare names, the longer before the shorter.
-A rule is tried only if its keyword occurs in the text. Of detections that overlap, the
-rule with the higher priority wins: a detection inside the range of a better one is
-suppressed. The four base phrases are counted wherever their words stand consecutively,
+The first 290 are written one by one (license_rules), names and versions of families are
+multiplied out. A rule is tried only if its keyword occurs in the text. Of detections that
+overlap, the rule with the higher priority wins: a detection inside the range of a better
+one is suppressed. A text costs time in proportion to its length and its detections. The four base phrases are counted wherever their words stand consecutively,
 before any suppression, and their labels always stay.
 
 The score is the confidence of the best detection kept: 0 without any. Repeated rows each
@@ -19,12 +20,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkindex.llm.common import map_batches
+from sparkindex.llm.license_rules import IDENTIFIERS, SENTENCES, rows
 from sparkindex.llm.positional import words_of
 
 #: Base phrases and their labels (fixed values).
@@ -44,36 +47,6 @@ class Rule:
     confidence: float
 
 
-#: Sentences that only one license text, or one family, has; label, keyword, pattern.
-SENTENCES = [
-    ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "merge publish", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell"),
-    ("mit-0", "free of charge", "permission is hereby granted free of charge .{0,400}?to whom the software is furnished to do so the software is provided"),
-    ("isc", "for any purpose", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"),
-    ("0bsd", "for any purpose", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
-    ("bsd-4-clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("bsd-3-clause", "endorse or promote", "neither the name of (?:\\S+ ){1,16}?nor the names of (?:its|the) contributors may be used to endorse or promote"),
-    ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "what the fuck", "do what the fuck you want to public license"),
-    ("zlib", "as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("bsl-1.0", "boost", "boost software license"),
-    ("ofl-1.1", "font software", "this font software is licensed under the sil open font license version 1 1"),
-    ("artistic-2.0", "artistic", "the artistic license 2 0"),
-    ("cc0-1.0", "waive", "waive all copyright and related or neighboring rights"),
-    ("public-domain", "public domain", "(?:dedicated|released|placed) (?:to|into|in) the public domain"),
-    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
-    ("ncsa", "illinois", "university of illinois ncsa open source license"),
-    ("elastic-2.0", "elastic", "elastic license 2 0"),
-    ("busl-1.1", "business source", "business source license 1 1"),
-]
 #: Reserved rights are a weak sign: many pages say so whatever their license.
 RESERVED = ("proprietary", "all rights reserved", 0.5)
 #: Families: label, names (spellings of the name as words), versions.
@@ -155,7 +128,7 @@ def _glued(text: str) -> str:
 
 def build_rules() -> list[Rule]:
     """All rules, the best first."""
-    rules = [Rule(label, pattern.encode(), keyword.encode(), 0.99) for label, keyword, pattern in SENTENCES]
+    rules = [Rule(label, pattern.encode(), keyword.encode(), confidence) for table, confidence in ((SENTENCES, 0.99), (IDENTIFIERS, 0.97)) for label, keyword, pattern in rows(table)]
     named: list[tuple[int, Rule]] = []
 
     def add(label: str, pattern: str, keyword: str, confidence: float) -> None:
@@ -187,13 +160,34 @@ def build_rules() -> list[Rule]:
     return rules + [rule for _, rule in sorted(named, key=lambda x: x[0])]
 
 
+def word_numbers(joined: bytes):
+    """A function from where a word starts, or where the blank after it stands, to how many
+    words are before."""
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return lambda at: np.searchsorted(blanks, at) - (joined[at] != 32)
+
+
+def uncontained(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Of (priority, start, end, rule) those that no detection of better priority contains,
+    by start. What is contained in a suppressed one is contained in what suppressed it, so
+    one sweep over the starts, with the detections that are still open, decides all."""
+    kept: list[tuple[int, int, Rule]] = []
+    open_: list[tuple[int, int]] = []
+    for priority, a, b, rule in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+        open_ = [x for x in open_ if x[0] > a]
+        if not any(end >= b and better < priority for end, better in open_):
+            kept.append((a, b, rule))
+        open_.append((b, priority))
+    return kept
+
+
 class Scanner:
     def __init__(self) -> None:
         by_keyword: dict[bytes, list[tuple[int, Rule, re.Pattern[bytes]]]] = {}
         for priority, rule in enumerate(build_rules()):
-            by_keyword.setdefault(rule.keyword, []).append((priority, rule, re.compile(b"(?<= )" + rule.pattern + b"(?= )")))
+            by_keyword.setdefault(rule.keyword, []).append((priority, rule, re.compile(b"(?<= )(?:" + rule.pattern + b")(?= )")))
         self.by_keyword = list(by_keyword.items())
-        self.base = [(b" " + phrase.encode() + b" ", label) for phrase, label in BASE.items()]
+        self.base = [(re.compile(b"(?= " + phrase.encode() + b" )"), label) for phrase, label in BASE.items()]
 
     def detections(self, joined: bytes) -> list[tuple[int, int, Rule]]:
         """(first word, word after the last, rule) of what is left after suppression."""
@@ -203,25 +197,21 @@ class Scanner:
                 for priority, rule, pattern in rules:
                     for m in pattern.finditer(joined):
                         found.append((priority, m.start(), m.end(), rule))
-        kept: list[tuple[int, int, Rule]] = []
-        for _, a, b, rule in sorted(found, key=lambda x: (x[0], x[1])):
-            if not any(x <= a and b <= y for x, y, _ in kept):
-                kept.append((a, b, rule))
-        return [(joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b), rule) for a, b, rule in sorted(kept, key=lambda x: x[:2])]
+        words = word_numbers(joined)
+        return [(int(words(a)), int(words(b)), rule) for a, b, rule in uncontained(found)]
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
         """n_words, n_base, first_word, last_word, base labels, labels, score."""
         words = words_of(text)
         joined = b" " + b" ".join(words) + b" "
-        n_base, first, last, base = 0, None, None, set()
+        at, base = [], set()
         for phrase, label in self.base:
-            at = joined.find(phrase)
-            while at >= 0:
-                n_base += 1
-                word = joined.count(b" ", 0, at)
-                first, last = word if first is None else min(first, word), word if last is None else max(last, word)
+            found = [m.start() + 1 for m in phrase.finditer(joined)]
+            if found:
+                at += found
                 base.add(label)
-                at = joined.find(phrase, at + 1)
+        number = word_numbers(joined) if at else None
+        n_base, first, last = (len(at), int(number(min(at))), int(number(max(at)))) if at else (0, None, None)
         kept = self.detections(joined) if words else []
         score = max((rule.confidence for _, _, rule in kept), default=0.0)
         if base:
