@@ -5,11 +5,12 @@ elements; a host's wrapper is a tree too, and pages are aligned to it one after
 by simple tree matching: equal labels match, equal texts better, and the children of
 matched nodes by the order-preserving pairing of greatest weight; long lists of siblings
 are first cut at texts that both have once. Noise is left out, all else of a page is aligned,
-and a large wrapper loses nodes that less than a tenth of its articles have. Every wrapper node counts how often it was
-seen and how often with the same text. A node that nearly every page of the host has,
-with nearly always the same text, is template; nodes whose text varies are slots, and
-slots are content. Partial wrappers of partitions are merged by the same alignment, in
-two steps, so a host with most of the pages is spread over all partitions.
+and a large wrapper loses nodes that less than a tenth of its articles have. Every wrapper
+node counts how often it was seen, how many characters it held, and by how many votes its
+commonest text leads. A node that most pages of the host have, with nearly always the same
+text, is template, if enough articles say so for its length; nodes whose text varies are
+slots, and slots are content. Partial wrappers of partitions are merged by the same
+alignment, in two steps, so a host with most of the pages is spread over all partitions.
 
 Counts are over articles, not pages: copies and near copies of a page say nothing about
 the template. A page has two marks, each the block that is least by a hash weighted with
@@ -17,10 +18,14 @@ the square of its length (two pages share a mark as likely as they share text, l
 blocks above all), and of pages of a host that share the first mark, and then of those
 left that share the second, one is learnt from.
 
-The main text is then read from the page: the container is the largest article element,
-else main, else the block that holds most of the varying text; navigation, page headers
-and footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
-by element and by class or id, and so are template nodes, unless everything in the
+The main text is then read from the page. The container is found in the wrapper: from the
+root down, the node under which nearly all varying characters of the host's articles lie,
+but no further than a node with a heading of its own. It is the node of the page that is
+aligned with it; inside it, an article or main element that holds most of the text is
+preferred. Only where a host has a single article, or no slot, is the container found by
+the page alone, in the same way. Left out are navigation, page headers (those in no article,
+main or section element) and footers, sidebars, notices, adverts, forms, scripts, styles
+and comments, by element and by class or id, and template nodes, unless everything in the
 container is constant (a host whose pages are copies of one text has no slot to tell).
 
 Character references are decoded, white space inside a block becomes one space, blocks
@@ -45,14 +50,21 @@ from pyspark.sql import types as T
 
 from sparkindex.llm.common import map_batches, materialize
 
-#: Share of a host's articles that must have a node, and share of those that must agree on its text.
-SEEN, AGREE = 0.5, 0.9
-LEAST_PAGES = 5
+#: Share of a host's articles that must have a node, and by what share of those the
+#: commonest text must lead to be template (nine in ten agree: a lead of eight).
+SEEN, LEAD = 0.5, 0.8
+#: Articles that must agree on a template text: two, and one more for each so many characters of it.
+WITNESS = 60
+#: Share of the varying characters that a node must hold for the container to be in it.
+HOLDS = 0.7
 #: Nodes from which a wrapper loses those that are too rare to become template, and their share.
 MANY_NODES, RARE = 400, 0.1
 #: Pairs of siblings that are weighed one by one; longer lists are aligned by texts and labels.
 MOST_CELLS = 16 * 16
 HOSTS_AT_ONCE = 2000
+#: Bytes of all wrappers up to which each executor gets them at once; beyond, pages are joined
+#: with theirs.
+SHARED_BYTES = 16 << 20
 #: Blocks nested deeper than this are read as following one another.
 MOST_DEEP = 120
 
@@ -75,6 +87,8 @@ _NOISE = frozenset(
     "masthead topbar comment comments commentlist disqus respond replies related recommended recommendations share sharing social newsletter subscribe subscription "
     "signup login search pagination pager widget widgets toolbar skip copyright".split()
 )
+_HEADINGS = frozenset("h1 h2 h3".split())
+_SECTIONS = frozenset("article main section".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -182,6 +196,8 @@ def parse(source: str) -> Node:
                     elif stack[k].tag in _KEEPS and not (tag == "tr" and stack[k].tag == "tr"):
                         break
             label, noise = _describe(tag, m[3])
+            if tag == "header" and not any(x.tag in _SECTIONS for x in stack):
+                noise = True
             node = Node(tag, label, noise)
             stack[-1].parts.append(node)
             stack[-1].children.append(node)
@@ -196,18 +212,22 @@ def parse(source: str) -> Node:
 
 
 class Slot:
-    """A wrapper node."""
+    """A wrapper node: its commonest text, how often it was seen, by how many votes the text
+    leads, and the characters of all its texts."""
 
-    __slots__ = ("agree", "children", "label", "node", "seen", "text")
+    __slots__ = ("chars", "children", "label", "lead", "node", "seen", "text")
 
-    def __init__(self, label: str, text: int, seen: int, agree: int, children: list[Slot], node: Node | None = None):
-        self.label, self.text, self.seen, self.agree, self.children, self.node = label, text, seen, agree, children, node
+    def __init__(self, label: str, text: int, seen: int, lead: int, chars: int, children: list[Slot], node: Node | None = None):
+        self.label, self.text, self.seen, self.lead, self.chars, self.children, self.node = label, text, seen, lead, chars, children, node
 
     def count(self) -> int:
         return 1 + sum(c.count() for c in self.children)
 
+    def varies(self, articles: int) -> bool:
+        return not (self.seen >= SEEN * articles and self.lead >= LEAD * self.seen and self.lead >= 2 + self.chars // (self.seen * WITNESS))
+
     def __reduce__(self):
-        return Slot, (self.label, self.text, self.seen, self.agree, self.children)
+        return Slot, (self.label, self.text, self.seen, self.lead, self.chars, self.children)
 
 
 def _hash(text: str) -> int:
@@ -218,7 +238,8 @@ def _hash(text: str) -> int:
 
 def as_slots(node: Node) -> Slot:
     """A page's tree without noise, as a wrapper of one page."""
-    return Slot(node.label, _hash(node.own()), 1, 1, [as_slots(child) for child in node.children if not child.noise], node)
+    text = node.own()
+    return Slot(node.label, _hash(text), 1, 1, len(text), [as_slots(child) for child in node.children if not child.noise], node)
 
 
 def marks(page: Node) -> tuple[int, int]:
@@ -337,10 +358,13 @@ def _by_label(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
 def merge(into: Slot, other: Slot) -> None:
     """Align other with a wrapper and add its counts; what is new is inserted in order."""
     into.seen += other.seen
+    into.chars += other.chars
     if other.text == into.text:
-        into.agree += other.agree
-    elif other.agree > into.agree:
-        into.text, into.agree = other.text, other.agree
+        into.lead += other.lead
+    elif other.lead > into.lead:
+        into.text, into.lead = other.text, other.lead - into.lead
+    else:
+        into.lead -= other.lead
     _, pairs = pairing(into.children, other.children)
     for i, j in pairs:
         merge(into.children[i], other.children[j])
@@ -371,34 +395,84 @@ def learn(wrapper: Slot | None, page: Slot) -> Slot:
     return wrapper
 
 
-def constants(page: Node, wrapper: Slot | None) -> tuple[set[int], set[int]]:
-    """The ids of the page's nodes that are template, and of those that fill a slot."""
-    fixed: set[int] = set()
-    slots: set[int] = set()
-    if wrapper is None or wrapper.seen < LEAST_PAGES:
-        return fixed, slots
-    pages = wrapper.seen
+def inner(node, weight):
+    """From node down to where less than HOLDS of its weight lies in one child, or a heading
+    or a block of text is reached."""
+    while total := weight(node):
+        child = max(node.children, key=weight, default=None)
+        if child is None or weight(child) < HOLDS * total or _tag(child) in _TEXT or any(_tag(c) in _HEADINGS and weight(c) for c in node.children):
+            break
+        node = child
+    return node
 
-    def visit(one: Slot, slot: Slot) -> None:
-        if one.text:
-            same = slot.seen >= SEEN * pages and slot.agree >= AGREE * slot.seen
-            if not same:
-                slots.add(id(one.node))
-            elif one.text == slot.text:
-                fixed.add(id(one.node))
-        for i, j in pairing(one.children, slot.children)[1]:
-            visit(one.children[i], slot.children[j])
 
-    visit(as_slots(page), wrapper)
-    return fixed, slots
+_TEXT = frozenset("p ul ol dl table pre blockquote figure h1 h2 h3 h4 h5 h6".split())
+
+
+def _tag(node) -> str:
+    return node.label.split(".", 1)[0]
+
+
+class Wrapper:
+    """A learnt tree, with what is a slot in it and where its container is."""
+
+    def __init__(self, top: Slot):
+        self.top = top
+        self.slots: set[int] = set()
+        self.weights: dict[int, int] = {}
+        self._weigh(top)
+        self.container = inner(top, lambda slot: self.weights[id(slot)])
 
+    def _weigh(self, slot: Slot) -> int:
+        total = sum(self._weigh(c) for c in slot.children)
+        if slot.varies(self.top.seen):
+            self.slots.add(id(slot))
+            total += slot.chars
+        self.weights[id(slot)] = total
+        return total
 
-def _weight(node: Node, fixed: set[int]) -> int:
-    """Code points of text in and below a node that is neither noise nor template."""
-    if node.noise:
-        return 0
-    own = 0 if id(node) in fixed else sum(len(x) for x in node.parts if isinstance(x, str) and not x.isspace())
-    return own + sum(_weight(c, fixed) for c in node.children)
+
+class Reading:
+    """A page read by its host's wrapper: nodes that are template, whether any fills a slot,
+    and the container."""
+
+    def __init__(self, page: Node, wrapper: Wrapper | None):
+        self.fixed: set[int] = set()
+        self.slots = False
+        self.weights: dict[int, int] = {}
+        top = None
+        if wrapper is not None and wrapper.top.seen > 1:
+            top = self._align(as_slots(page), wrapper.top, wrapper)
+        self.top = self._preferred(top or inner(page, self.weight))
+
+    def _align(self, one: Slot, slot: Slot, wrapper: Wrapper) -> Node | None:
+        """Marks what is template; the node of the page that is aligned with the container."""
+        if one.text:
+            if id(slot) in wrapper.slots:
+                self.slots = True
+            elif one.text == slot.text:
+                self.fixed.add(id(one.node))
+        found = one.node if slot is wrapper.container else None
+        for i, j in pairing(one.children, slot.children)[1]:
+            found = self._align(one.children[i], slot.children[j], wrapper) or found
+        return found
+
+    def weight(self, node: Node) -> int:
+        """Code points of text in and below a node that is neither noise nor template."""
+        if node.noise:
+            return 0
+        if id(node) not in self.weights:
+            own = 0 if id(node) in self.fixed else sum(len(x) for x in node.parts if isinstance(x, str) and not x.isspace())
+            self.weights[id(node)] = own + sum(self.weight(c) for c in node.children)
+        return self.weights[id(node)]
+
+    def _preferred(self, top: Node) -> Node:
+        """The largest article in top, or else main element, if it has most of top's text."""
+        for tag in ("article", "main"):
+            found = max(_all(top, tag), key=self.weight, default=None)
+            if found is not None and 2 * self.weight(found) >= self.weight(top):
+                return found
+        return top
 
 
 def _all(node: Node, tag: str) -> Iterator[Node]:
@@ -411,34 +485,16 @@ def _all(node: Node, tag: str) -> Iterator[Node]:
             yield from _all(child, tag)
 
 
-def container(page: Node, fixed: set[int]) -> Node:
-    for tag in ("article", "main"):
-        found = list(_all(page, tag))
-        if found:
-            return max(found, key=lambda n: _weight(n, fixed))
-    node, total = page, _weight(page, fixed)
-    while True:
-        inner = max(node.children, key=lambda n: _weight(n, fixed), default=None)
-        if inner is None or inner.tag in ("p", "ul", "ol", "table", "pre", "blockquote") or _weight(inner, fixed) < 0.7 * total:
-            return node
-        node = inner
-
-
-def main_text(source: str | None, wrapper: Slot | None = None) -> str:
+def main_text(source: str | None, wrapper: Wrapper | None = None) -> str:
     """The main text of one page, given its host's wrapper."""
     if not source:
         return ""
-    page = parse(source)
-    fixed, slots = constants(page, wrapper)
-    top = container(page, fixed)
+    read = Reading(parse(source), wrapper)
     blocks: list[str] = []
-    inside_fixed: list[int] = []
-    any_slot = False
+    template: list[int] = []
 
     def visit(node: Node) -> None:
-        nonlocal any_slot
-        any_slot = any_slot or id(node) in slots
-        template, run = id(node) in fixed, []
+        run: list[str] = []
         for part in [*node.parts, None]:
             if isinstance(part, str):
                 run.append(part)
@@ -446,15 +502,15 @@ def main_text(source: str | None, wrapper: Slot | None = None) -> str:
             text = " ".join("".join(run).split())
             run = []
             if text:
-                if template:
-                    inside_fixed.append(len(blocks))
+                if id(node) in read.fixed:
+                    template.append(len(blocks))
                 blocks.append(text)
             if part is not None and not part.noise:
                 visit(part)
 
-    visit(top)
-    if any_slot and inside_fixed:
-        drop = set(inside_fixed)
+    visit(read.top)
+    if read.slots and template:
+        drop = set(template)
         blocks = [b for k, b in enumerate(blocks) if k not in drop]
     return "\n\n".join(blocks)
 
@@ -512,25 +568,32 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     return materialize(some.groupBy("host").applyInArrow(together, "host string, wrapper binary"), "wrapper")
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) for each row of pages."""
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """(id, url, text) for each row of pages. While all wrappers together are small, every
+    executor gets them and no page is shuffled."""
     wrappers = induce(pages, url_col, html_col)
     kind = pages.schema[id_col].dataType
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), _host(pages[url_col]).alias("host"))
+    small = (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= shared_bytes
+    if small:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in wrappers.collect()})
+    else:
+        rows = rows.join(wrappers, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Slot | None] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
-            for host, source, wrapper in zip(*(batch.column(k) for k in ("host", "html", "wrapper")), strict=True):
+            packed = [None] * batch.num_rows if small else batch.column("wrapper")
+            for host, source, wrapper in zip(batch.column("host"), batch.column("html"), packed, strict=True):
                 host = host.as_py()
                 if host not in known:
                     if len(known) >= HOSTS_AT_ONCE:
                         known.clear()
-                    known[host] = pickle.loads(wrapper.as_py()) if wrapper.is_valid else None
+                    data = shared.value.get(host) if small else wrapper.as_py()
+                    known[host] = Wrapper(pickle.loads(data)) if data is not None else None
                 texts.append(main_text(source.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), _host(pages[url_col]).alias("host"))
-    joined = rows.join(wrappers.hint("shuffle_hash"), "host", "left")
     schema = T.StructType([T.StructField("id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    return map_batches(joined.select("id", "url", "html", "host", "wrapper"), run, schema)
+    return map_batches(rows.select("id", "url", "html", "host", *[] if small else ["wrapper"]), run, schema)
