@@ -10,8 +10,10 @@ Rows whose id is null keep their row; they count in a component but do not name
 and a component of such rows alone has a null id.
 
 Finding links. Equal fingerprints collapse to one node first, so copies are never
-paired. The 64 bits are cut in radius + 2 blocks: two fingerprints at distance radius
-or less agree on at least two blocks, so joining on every pair of blocks misses none.
+paired. The 64 bits are cut in radius + k blocks: two fingerprints at distance radius
+or less agree on at least k blocks, so joining on every choice of k blocks misses none.
+k is 2 or more, the least for which unrelated fingerprints rarely share k blocks at their
+number: 15 keys of 21 bits up to 67 million, then 35 of 27, then 70 of 32.
 A bucket of more than `crowd` fingerprints is not joined with itself: each of its
 fingerprints instead names every value within radius / 2 bits of it, and two
 fingerprints are within radius exactly if they name a common value. That path is exact
@@ -36,6 +38,8 @@ SEED = 42
 WORDS = 4
 RADIUS = 4
 CROWD = 512
+#: Unrelated fingerprints that share a key, about, before keys are made of more blocks.
+SHARED = 64
 #: Shingles whose bits are counted at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 15
 
@@ -73,17 +77,32 @@ def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")), run, schema)
 
 
-def block_widths(radius: int) -> list[int]:
-    n = radius + 2
-    return [64 // n + (k < 64 % n) for k in range(n)]
+def agreeing(n: int, radius: int = RADIUS) -> int:
+    """How many blocks a key joins on, given n distinct fingerprints."""
+    k = 2
+    while k < 4 and n >> sum(sorted(block_widths(radius, k))[:k]) >= SHARED:
+        k += 1
+    return k
 
 
-def block_keys(fp, radius: int = RADIUS):
-    """An array of (block pair, the bits of those two blocks)."""
-    widths = block_widths(radius)
+def block_widths(radius: int, k: int = 2) -> list[int]:
+    n = radius + k
+    return [64 // n + (b < 64 % n) for b in range(n)]
+
+
+def block_keys(fp, radius: int = RADIUS, k: int = 2):
+    """An array of (choice of k blocks, the bits of those blocks)."""
+    widths = block_widths(radius, k)
     starts = [0, *accumulate(widths)]
-    cut = [F.shiftrightunsigned(fp, starts[k]).bitwiseAND(F.lit((1 << w) - 1)) for k, w in enumerate(widths)]
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.shiftleft(cut[i], 32).bitwiseOR(cut[j]).alias("key")) for t, (i, j) in enumerate(combinations(range(len(widths)), 2))])
+    cut = [F.shiftrightunsigned(fp, starts[b]).bitwiseAND(F.lit((1 << w) - 1)) for b, w in enumerate(widths)]
+
+    def joined(blocks):
+        key, at = F.lit(0).cast("long"), 0
+        for b in blocks:
+            key, at = key.bitwiseOR(F.shiftleft(cut[b], at)), at + widths[b]
+        return key
+
+    return F.array(*[F.struct(F.lit(t).alias("t"), joined(blocks).alias("key")) for t, blocks in enumerate(combinations(range(len(widths)), k))])
 
 
 def flips(bits: int) -> list[int]:
@@ -92,12 +111,12 @@ def flips(bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD, k: int | None = None) -> DataFrame:
     """Edges (a, b) between the distinct longs of nodes.fp that, taken together, connect
     exactly what pairs at Hamming distance <= radius connect."""
     if radius % 2:
         raise ValueError("radius must be even")
-    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("k")).select("fp", "k.t", "k.key")
+    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, k or agreeing(nodes.count(), radius))).alias("k")).select("fp", "k.t", "k.key")
     sizes = materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")  # written, so that a skewed join with it can be split
     shared = materialize(keyed.join(sizes, ["t", "key"]), "blocks")
     few = shared.where(F.col("n") <= crowd)
@@ -117,7 +136,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialize(with_fingerprint(df, id_col, text_col, words), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     comps = components(links(nodes.select("fp"), radius, crowd))
-    joined = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first")
-    named = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
+    joined = materialize(nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first"), "joined")
+    # written before the join with it, so that a component that most texts are in can be split
+    named = materialize(joined.groupBy("comp").agg(F.min("first").alias("component_id")), "named")
     of_fp = materialize(joined.join(named, "comp").select("fp", "component_id"), "classes")
     return prints.join(of_fp, "fp").select("id", "fp", "component_id")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkindex.llm import extract, licenses, minhash, packing, pipeline, positional, quotes, sharding, simhash, sketch, warc
+from sparkindex.llm import extract, license_rules, licenses, minhash, packing, pipeline, positional, quotes, sharding, simhash, sketch, warc
 from sparkindex.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -102,8 +102,8 @@ def test_near_duplicate_stage(spark, docs):
     assert sorted(r.doc_id for r in left) == sorted({*root.values()})
 
 
-@pytest.mark.parametrize("crowd", [2, 10_000])
-def test_links_in_dense_balls(spark, crowd):
+@pytest.mark.parametrize(("crowd", "k"), [(2, 2), (10_000, 2), (10_000, 3), (10_000, 4)])
+def test_links_in_dense_balls(spark, crowd, k):
     """Crowded buckets give the same components as pairs do."""
     draw = random.Random(5)
     values = {0}
@@ -112,11 +112,16 @@ def test_links_in_dense_balls(spark, crowd):
         values |= {base ^ sum(1 << draw.randrange(64) for _ in range(draw.randrange(9))) for _ in range(15)}
     signed = [v - 2**64 if v >> 63 else v for v in values]
     nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
-    edges = [(r.a, r.b) for r in simhash.links(nodes, crowd=crowd).collect()]
+    edges = [(r.a, r.b) for r in simhash.links(nodes, crowd=crowd, k=k).collect()]
     exact = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4]
     assert roots(signed, edges) == roots(signed, exact)
 
 
+def test_more_blocks_for_more_fingerprints():
+    assert [simhash.agreeing(n) for n in (0, 5 * 10**7, 10**9, 10**11)] == [2, 2, 3, 4]
+    assert all(sum(simhash.block_widths(4, k)) == 64 for k in (2, 3, 4))
+
+
 def test_tokenizers_agree(docs):
     """Merge ranks give the ids that the tokenizers library gives."""
     import public_tokenizers
@@ -443,7 +448,8 @@ def test_license_query(spark, docs):
 
 def test_license_rules():
     scan = licenses.Scanner().scan
-    assert len(licenses.build_rules()) > 300
+    written = license_rules.rows(license_rules.SENTENCES) + license_rules.rows(license_rules.IDENTIFIERS)
+    assert len({pattern for _, _, pattern in written}) == len(written) > 200
     assert scan("Distributed under GPL-3.0-or-later, GPLv2 or later")[5] == ["gpl-2.0-or-later", "gpl-3.0-or-later"]
     assert scan("the GNU Lesser General Public License version 2.1")[5] == ["lgpl-2.1"]
     assert scan("CC BY-SA 4.0")[4:6] == (["cc-by"], ["cc-by", "cc-by-sa-4.0"])
@@ -451,8 +457,70 @@ def test_license_rules():
     assert scan("a permissive text")[5:] == ([], 0.0)
 
 
+def sample_of(pattern, draw):
+    """A text that a pattern matches: gaps are filled, one alternative is taken, optional
+    groups are left out."""
+    while (m := re.search(r"\(\?:([^()]*)\)(\?|\{\d+,\d+\}\??)?", pattern)) or "|" in pattern:
+        if not m:
+            return sample_of(draw.choice(pattern.split("|")), draw)
+        if m[1] == r"\S+ ":
+            fill = "filler " * max(1, int(re.match(r"\{(\d+)", m[2])[1]))
+        else:
+            fill = "" if m[2] == "?" else draw.choice(m[1].split("|"))
+        pattern = pattern[: m.start()] + fill + pattern[m.end() :]
+    return re.sub(r"(\[\w+\])|(\w)\?", lambda x: x[1][1] if x[1] else x[2], pattern)
+
+
+def test_each_written_rule_finds_its_text():
+    draw = random.Random(6)
+    scanner = licenses.Scanner()
+    for label, keyword, pattern in license_rules.rows(license_rules.SENTENCES) + license_rules.rows(license_rules.IDENTIFIERS):
+        for part in re.split(r"\|(?![^()]*\))", pattern):
+            text = "so " + sample_of(part, draw) + " end"
+            assert keyword in text, (keyword, part)
+            found = scanner.detections(b" " + text.encode() + b" ")
+            assert any(rule.pattern == pattern.encode() for _, _, rule in found) or any(a == 1 and b >= len(text.split()) - 1 for a, b, _ in found), (label, text, found)
+
+
+def plain_detections(rules, text):
+    """Every rule is tried, words are counted, each detection is compared with each."""
+    joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))) + " "
+    found = [(k, m.start(), m.end(), rule) for k, rule in enumerate(rules) for m in re.finditer("(?<= )(?:" + rule.pattern.decode() + ")(?= )", joined)]
+    kept = [(a, b, rule) for k, a, b, rule in found if not any(j < k and x <= a and b <= y for j, x, y, _ in found)]
+    return sorted((len(joined[:a].split()), len(joined[:b].split()), rule.label) for a, b, rule in kept)
+
+
+def test_license_labels_by_brute_force(docs):
+    draw = random.Random(8)
+    rules = licenses.build_rules()
+    scanner = licenses.Scanner()
+    pieces = [sample_of(part, draw) for _, _, pattern in license_rules.rows(license_rules.SENTENCES) for part in [re.split(r"\|(?![^()]*\))", pattern)[0]]]
+    pieces += ["gpl 2 0 or later", "gnu general public license version 3 or any later version", "cc by nc sa 4 0", "apache license 2 0", "mit license", "all rights reserved", "plain words here"]
+    texts = [" ".join(draw.choices(pieces, k=12)) for _ in range(15)] + [t for t in docs.values() if t and len(t) < 1500]
+    seen = 0
+    for text in texts:
+        words = licenses.words_of(text)
+        got = sorted((a, b, rule.label) for a, b, rule in scanner.detections(b" " + b" ".join(words) + b" "))
+        want = plain_detections(rules, text)
+        assert got == want
+        assert scanner.scan(text)[5] == sorted({label for _, _, label in want} | set(scanner.scan(text)[4]))
+        seen += len(want)
+    assert seen > 150
+
+
+def test_license_scan_is_linear():
+    """A few MB of one phrase take seconds, in however many detections."""
+    import time
+
+    text = "MIT license, " * 240_000
+    start = time.time()
+    n_words, n_base, first, last, *_ = licenses.Scanner().scan(text)
+    assert (n_words, n_base, first, last) == (480_000, 240_000, 0, 479_998) and time.time() - start < 10
+
+
 def test_sentences_are_gated_by_their_own_words():
-    assert [label for label, keyword, pattern in licenses.SENTENCES if keyword not in pattern] == []
+    written = license_rules.rows(license_rules.SENTENCES) + license_rules.rows(license_rules.IDENTIFIERS)
+    assert [(keyword, part) for _, keyword, pattern in written for part in re.split(r"\|(?![^()]*\))", pattern) if keyword not in part] == []
     text = "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"
     assert licenses.Scanner().scan(text)[5:] == (["gfdl"], 0.99)
 
@@ -543,6 +611,47 @@ def test_template_around_long_articles(spark, least):
     assert {r.id: r.text for r in extract.main_texts(pages).collect()} == want
 
 
+def story(host, k, n=4):
+    """A page without article element; what is template is told from the host's pages alone."""
+    lead = f"Written for {host} by its own staff"
+    paragraphs = "".join(f"<p>Story {k} of {host} tells in part {j} what no other story tells</p>" for j in range(n))
+    return f"<body><header><h2>Site {host}</h2></header><div><p>{lead}</p><p>Weather today {k}</p></div><div><h1>Title {k} of {host}</h1>{paragraphs}<p>{lead}</p></div><div><p>Read us every day</p></div></body>", [f"Title {k} of {host}", *(f"Story {k} of {host} tells in part {j} what no other story tells" for j in range(n))]
+
+
+HOSTS = {"two": 2, "four": 4, "many": 30}
+
+
+def stories():
+    return [(f"{host}.example", k, *story(host, k, 60 if k % 7 == 3 else 4)) for host, n in HOSTS.items() for k in range(n)]
+
+
+@pytest.mark.parametrize("shared_bytes", [1 << 20, 0])
+def test_wrapper_decides(spark, shared_bytes):
+    """Hosts of two pages and more, none with an article element, some with many blocks."""
+    rows = stories()
+    pages = spark.createDataFrame([(n, f"http://{host}/{k}", page) for n, (host, k, page, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract.main_texts(pages, shared_bytes=shared_bytes).collect()}
+    for n, (*_, page, want) in enumerate(rows):
+        assert got[n] == "\n\n".join(want)
+        assert extract.main_text(page, None) != got[n]  # taking the wrapper away changes it
+
+
+def test_main_text_does_not_depend_on_order(spark):
+    rows = [(n, f"http://{host}/{k}", page) for n, (host, k, page, _) in enumerate(stories())]
+    rows += [(100 + k, "http://h.example/" + str(k), PAGE.format(lead="Always the same words", a=f"Paragraph {k} " * 10, b=f"Second {k * 7} " * 8)) for k in range(12)]
+    results = set()
+    for seed, parts in ((1, 1), (2, 3), (3, 8)):
+        random.Random(seed).shuffle(rows)
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        results.add(tuple(sorted((r.id, r.text) for r in extract.main_texts(pages).collect())))
+    assert len(results) == 1
+
+
+def test_page_header_without_article():
+    assert extract.main_text("<body><header><p>Site header</p></header><p>One.</p><p>Two.</p></body>") == "One.\n\nTwo."
+    assert extract.main_text("<body><article><header><h1>T</h1></header><p>One.</p></article></body>") == "T\n\nOne."
+
+
 def test_main_text_query(spark):
     import html
 
