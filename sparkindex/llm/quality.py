@@ -129,7 +129,7 @@ class Model:
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -5, 5)
         waves = np.cos(z @ self.weights + self.phase) * np.sqrt(2 / len(self.phase))
-        return np.hstack([waves, z, np.ones((len(x), 1))])
+        return np.hstack([waves, np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.beta
@@ -209,7 +209,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     mean = np.array([summary[f"m{i}"] or 0.0 for i in range(k)])
     scale = np.array([summary[f"s{i}"] or 0.0 for i in range(k)])
     draw = np.random.default_rng(SEED)
-    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), draw.normal(0, WIDTH, (k, FEATURES)), draw.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + k + 1), np.array([0.0, 1.0]), np.full(2, 0.5))
+    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), draw.normal(0, WIDTH, (k, FEATURES)), draw.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.full(2, 0.5))
     if not summary.n or not 0 < summary.ones < summary.n:
         model.value = np.full(2, summary.ones / summary.n if summary.n else 0.5)
         return model
