@@ -4,8 +4,11 @@ A message is read line by line: leading `>` signs, with or without spaces betwee
 give the quote level; lines of one level that follow one another, without a blank line
 between, form a passage. A line such as `On Monday X wrote:` right before a quote is its
 attribution. Passages are normalised (white space to one space, ASCII lower case,
-trimmed) and hashed. A quoted passage is joined on its hash to the first message of its
-conversation, by turn, that says it in its own words; only earlier turns count. A message
+trimmed) and hashed, and so is each of their sentences where they have several. A quoted
+passage is joined on its hash to the first message of its conversation, by turn, that says
+it in its own words, as a passage or a sentence; only earlier turns count. Where nobody
+said the passage as a whole, its sentences are joined in the same way, each for itself, so
+part of a paragraph and parts of several are found as well. A message
 replies to the message that most of its first-level quoted text comes from (by length;
 on ties to the later turn), or else to the one that deeper quotes come from in the same
 way. Replies so form trees; a conversation is ordered by the turn of the tree's first
@@ -68,22 +71,45 @@ def passages(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]* (?=\S)")
+
+
+def sentences(passage: str) -> list[str]:
+    """The sentences of a normalised passage; the passage itself if it is one."""
+    return [x for x in _SENTENCE.split(passage) if x]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def marks(parts: list[tuple[int, str]]) -> list[dict]:
+    """What is joined on: nth passage, its level, whole or a sentence, hash, size."""
+    found = []
+    for nth, (level, passage) in enumerate(parts):
+        found.append({"nth": nth, "level": level, "whole": True, "hash": _hash(passage), "size": len(passage)})
+        inside = sentences(passage)
+        if len(inside) > 1:
+            found += [{"nth": nth, "level": level, "whole": False, "hash": _hash(x), "size": len(x)} for x in inside]
+    return found
+
+
 def parse_messages(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """Each row with a number of its own, its text without quotes and its passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int64())]))
+        kind = pa.list_(pa.struct([("nth", pa.int32()), ("level", pa.int32()), ("whole", pa.bool_()), ("hash", pa.int64()), ("size", pa.int64())]))
         for batch in batches:
             own, found = [], []
             for text in batch.column("text"):
                 clean, parts = passages(text.as_py())
                 own.append(clean)
-                found.append([{"level": level, "hash": xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63), "size": len(x)} for level, x in parts])
+                found.append(marks(parts))
             kept = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(own, pa.string()), pa.array(found, kind)], [*kept.schema.names, "text", "passages"])
 
     rows = messages.select(F.monotonically_increasing_id().alias("row"), messages[conv_col].cast("long").alias("conv"), messages[turn_col].cast("long").alias("turn"), messages[role_col].cast("string").alias("role"), messages[text_col].alias("text"))
-    return map_batches(rows, run, "row long, conv long, turn long, role string, text string, passages array<struct<level:int,hash:long,size:long>>")
+    return map_batches(rows, run, "row long, conv long, turn long, role string, text string, passages array<struct<nth:int,level:int,whole:boolean,hash:long,size:long>>")
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
@@ -92,9 +118,11 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     quoted = said.where("level > 0")
     wanted = materialize(quoted.select("conv", "hash").distinct(), "wanted")
     first = materialize(said.where("level = 0").join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min(F.struct("turn", "row")).alias("f")).select("conv", "hash", F.col("f.turn").alias("parent_turn"), F.col("f.row").alias("parent")), "said")
-    met = quoted.join(first, ["conv", "hash"]).where("parent_turn < turn")
-    weighed = met.groupBy("row", "parent", "parent_turn").agg(F.sum(F.when(F.col("level") == 1, F.col("size")).otherwise(F.lit(0))).alias("near"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("linked"))
-    best = weighed.groupBy("row").agg(F.max(F.struct("near", "all", "parent_turn", "parent")).alias("b"), F.sum("linked").alias("linked"))
+    met = materialize(quoted.join(first, ["conv", "hash"]).where("parent_turn < turn"), "met")
+    whole = met.where("whole").select("row", "nth").distinct()
+    met = met.where("whole").unionByName(met.where("not whole").join(whole, ["row", "nth"], "left_anti"))
+    weighed = met.groupBy("row", "parent", "parent_turn").agg(F.sum(F.when(F.col("level") == 1, F.col("size")).otherwise(F.lit(0))).alias("near"), F.sum("size").alias("all"), F.collect_set("nth").alias("nths"))
+    best = weighed.groupBy("row").agg(F.max(F.struct("near", "all", "parent_turn", "parent")).alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("nths")))).alias("linked"))
     return best.select("row", F.col("b.parent").alias("parent"), F.col("b.parent_turn").alias("parent_turn"), "linked")
 
 
@@ -119,7 +147,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     roots = thread(links)
     root_turns = roots.join(parsed.select(F.col("row").alias("root"), F.col("turn").alias("root_turn")), "root").select("row", "root_turn", "depth")
     replies = materialize(links.select("row", "parent_turn", "linked").join(root_turns, "row"), "replies")
-    quotes = F.size(F.filter("passages", lambda p: p["level"] > 0))
+    quotes = F.size(F.filter("passages", lambda p: p["whole"] & (p["level"] > 0)))
     every = parsed.select("row", "conv", "turn", "role", "text", quotes.alias("n_quotes")).join(replies, "row", "left")
     every = every.select("conv", "turn", "role", "text", F.col("parent_turn").alias("reply_to"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quotes", F.coalesce("linked", F.lit(0)).cast("int").alias("n_linked"))
     keys = [F.col("conv").asc_nulls_last(), F.col("root_turn").asc_nulls_last(), F.col("depth"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]

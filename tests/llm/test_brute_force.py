@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkindex.llm import extract, license_rules, licenses, minhash, packing, pipeline, positional, quotes, sharding, simhash, sketch, warc
+from sparkindex.llm import extract, license_rules, licenses, packing, pipeline, positional, quality, quotes, sharding, simhash, sketch, warc
 from sparkindex.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +102,29 @@ def test_near_duplicate_stage(spark, docs):
     assert sorted(r.doc_id for r in left) == sorted({*root.values()})
 
 
+def test_pipeline_by_brute_force(spark):
+    """Each stage's decision, restated plainly, over all rows of the smallest tables."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    scores = {r.id: r.score for r in quality.quality_scores(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    left = [r for r in rows if scores[r.doc_id] >= 0.3]
+    sets = five_word_sets([r.text for r in left])
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
+    root = roots(range(len(left)), pairs)
+    left = [r for k, r in enumerate(left) if root[k] == k]
+    hits = plain_hits({r.doc_id: r.text for r in left}, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    left = [r for r in left if not hits[r.doc_id][1]]
+    encode, want = packing.encoder(packing.default_vocabulary()), set()
+    for r in left:
+        ids = [*encode(r.text or ""), 0]
+        at = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want |= {(r.doc_id, k, a, b - a) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length) for r in got} == want and len(got) == len(want)
+    assert 20 < len(left) < len(rows)
+
+
 @pytest.mark.parametrize(("crowd", "k"), [(2, 2), (10_000, 2), (10_000, 3), (10_000, 4)])
 def test_links_in_dense_balls(spark, crowd, k):
     """Crowded buckets give the same components as pairs do."""
@@ -299,6 +322,37 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == r.quality for r in held) / len(held) > 0.95
 
 
+def test_quality_equations(spark, docs):
+    """The sums over partitions solve to what one solution over all rows does, and the
+    held-out labels have no influence."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stats = quality.with_statistics(table.repartition(5))
+    model = quality.fit(stats, labels)
+    marked = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(zlib.crc32(str(r.id).encode()) % 5, r.x, marked[r.id]) for r in stats.collect() if r.id in marked]
+    z = model.features(np.asarray([x for f, x, _ in rows if f > 1]))
+    y = np.asarray([v for f, _, v in rows if f > 1], float)
+    penalty = quality.PENALTY * len(y) / quality.FEATURES * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    beta = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(z @ beta, z @ model.beta, atol=1e-6)
+    assert abs(z[:, :-1] @ z[:, :-1].T - np.exp(-(quality.WIDTH**2) / 2 * ((np.clip((np.asarray([x for f, x, _ in rows if f > 1]) - model.mean) / model.scale, -5, 5)[:, None] - np.clip((np.asarray([x for f, x, _ in rows if f > 1]) - model.mean) / model.scale, -5, 5)[None]) ** 2).sum(-1))).mean() < 0.08
+    flipped = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
+    a, b = ({r.id: r.score for r in quality.quality_scores(table, given).collect()} for given in (labels, flipped))
+    assert a == b
+
+
+def test_isotonic_by_brute_force():
+    draw = random.Random(9)
+    for _ in range(20):
+        y = np.array([draw.random() for _ in range(12)])
+        w = np.array([draw.randrange(1, 5) for _ in y], float)
+        mean = lambda j, k: (y[j : k + 1] * w[j : k + 1]).sum() / w[j : k + 1].sum()
+        want = [max(min(mean(j, k) for k in range(i, len(y))) for j in range(i + 1)) for i in range(len(y))]
+        assert np.allclose(quality.isotonic(y, w), want)
+
+
 def plain_shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
@@ -553,6 +607,64 @@ def test_quotation_linking(spark):
     assert quotes.conversations(messages.where("false")).count() == 0
 
 
+def generated_threads(seed):
+    """Conversations whose messages quote earlier ones, whole or in part, rewrapped, nested;
+    and for each message the turn it replies to."""
+    draw = random.Random(seed)
+    rows, replies = [], {}
+    for conv in range(8):
+        said: list[tuple[list[list[str]], int | None]] = []  # own paragraphs of sentences, replied turn
+        for turn in range(12):
+            own = [[f"Conversation {conv} turn {turn} says {p} {k} {draw.randrange(10**6)}" + draw.choice(".!?") for k in range(draw.randrange(1, 5))] for p in range(draw.randrange(1, 4))]
+            lines, parent = [], None
+            if turn and draw.random() < 0.8:
+                parent = draw.randrange(turn)
+                lines.append(f"On Monday user {parent} wrote:")
+                above = said[parent][1]
+                if above is not None and draw.random() < 0.5:  # what the parent quoted itself, at level two
+                    lines += ["> On Sunday someone wrote:", *(f">{draw.choice(['', ' '])}> {x}" for x in draw.choice(said[above][0])), ">"]
+                for paragraph in draw.sample(said[parent][0], draw.randrange(1, len(said[parent][0]) + 1)):
+                    first = draw.randrange(len(paragraph))
+                    part = " ".join(paragraph[first : draw.randrange(first, len(paragraph)) + 1]).split(" ")
+                    at = 0
+                    while at < len(part):
+                        width = draw.randrange(2, 9)
+                        lines.append("> " + draw.choice(["", " "]).join([""]) + "  ".join(part[at : at + width]).upper())
+                        at += width
+                    lines.append(">")
+                lines.append("")
+            body = "\n\n".join(" ".join(p) for p in own)
+            rows.append((conv, turn, f"user {turn}", "\n".join([*lines, body])))
+            replies[conv, turn] = (parent, body)
+            said.append((own, parent))
+    return rows, replies
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_in_generated_threads(spark, seed):
+    rows, replies = generated_threads(seed)
+    random.Random(seed).shuffle(rows)
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert {(r.conv, r.turn): (r.reply_to, r.text) for r in got} == replies
+    for conv in range(8):
+        depth = {}
+        for turn in range(12):
+            parent = replies[conv, turn][0]
+            depth[turn] = (turn, 0) if parent is None else (depth[parent][0], depth[parent][1] + 1)
+        order = sorted(range(12), key=lambda t: (*depth[t], t))
+        mine = sorted((r for r in got if r.conv == conv), key=lambda r: r.position)
+        assert [(r.position, r.turn, r.root_turn, r.depth) for r in mine] == [(k, t, *depth[t]) for k, t in enumerate(order)]
+
+
+def test_quotes_of_long_and_deep_messages(spark):
+    long = " ".join(f"Sentence {k} of a very long text goes on." for k in range(30_000))
+    deep = "\n".join(">" * k + f" level {k} was never said" for k in range(1, 400))
+    rows = [(1, 0, "a", long), (1, 1, "b", "> Sentence 29999 of a very LONG text goes on.\n\nyes"), (1, 2, "c", deep + "\n> yes"), (1, 3, None, None), (1, 3, None, None), (1, 4, "d", "")]
+    got = sorted(quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.reply_to, r.depth) for r in got] == [(0, None, 0), (1, 0, 1), (2, 1, 2), (3, None, 0), (3, None, 0), (4, None, 0)]
+    assert got[0].text == long and got[2].n_quotes == 400
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><div class=top>Site name</div><nav><a>Menu</a></nav><div class='cookie-notice'>We use cookies</div><div>{lead}</div><div id=x><p>{a}</p><p>{b}<br>more &amp; more<p>Subscribe now to the letter</p></div><div class='comments'><p>reader says {a}</p></div><footer>foot {a}</footer></body></html>"
 
 
