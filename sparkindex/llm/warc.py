@@ -1,17 +1,20 @@
 """WARC archives with dictionary-compressed records, written and read by Spark.
 
 An archive is a .warc.zst file: a skippable frame with a Zstandard dictionary built from
-the archive's own records, then one frame for each record. Spark's text writer puts the
-frames in a file, so any file system Spark can write will do and a lost task leaves no
-half archive; the line separator is an empty skippable frame, which readers pass over.
-One partition makes one archive, so archives are as large as partitions are.
+the first records of the archive itself, then one frame for each record. Spark's text
+writer puts the frames in files, so any file system Spark can write will do and a lost task
+leaves no half archive; the line separator is an empty skippable frame, which readers pass
+over. A line holds about `CHUNK_BYTES` of frames and a file ARCHIVE_CHUNKS lines, then the
+next archive of the partition begins, with a dictionary of its own: archives are bounded
+whatever the partitions are (one record larger than a chunk is a chunk by itself).
 
 The payload is the html in UTF-8; null counts as empty. Of pages with equal payloads of
 at least `least_bytes`, the one with the largest page_id is stored as response and the
 others as revisit records that refer to it; smaller payloads are always stored. Rows
 that share the largest page_id as well are all responses. A null page_id comes back as
 null and is never referred to unless no other row of its payload has an id; then those
-rows are responses. A null url is left out. An empty table gives no archive rows.
+rows are responses. A null url is left out. Record ids hold the row's number besides the
+page id, so they are unique whatever repeats. An empty table gives no archive rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,6 +40,10 @@ LEVEL = 3
 DICTIONARY_BYTES = 1 << 16
 #: Bytes of an archive's first records that its dictionary is built from, at most.
 SAMPLE_BYTES = 2 << 20
+#: Bytes of frames in a line, about, and lines in an archive.
+CHUNK_BYTES, ARCHIVE_CHUNKS = 2 << 20, 32
+#: Payloads that occur more than once, up to which each executor gets their table at once.
+SHARED_PAYLOADS = 200_000
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 #: A skippable frame of no bytes, which is ASCII.
@@ -45,12 +53,12 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{row}>"
 
 
 def page_of(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:x-page:").removesuffix(">")
+    number = urn.removeprefix("<urn:x-page:").split(":", 1)[0]
     return int(number) if number else None
 
 
@@ -59,11 +67,11 @@ def record(kind: str, headers: Iterable[tuple[str, str]], block: bytes) -> bytes
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record if refers_to is given."""
+def page_record(page_id: int | None, row: int, url: str | None, payload: bytes, refers_to: tuple[int, int] | None = None) -> bytes:
+    """A response record, or a revisit record if the page and row it refers to are given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    headers = [("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
+    headers = [("WARC-Record-ID", record_id(page_id, row)), ("WARC-Date", DATE)]
     if url is not None:
         target = _UNSAFE.sub(lambda m: quote(m[0]), url)
         headers.append(("WARC-Target-URI", target))
@@ -72,7 +80,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is None:
         return record("response", headers, http + payload)
-    return record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))], http)
+    return record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*refers_to))], http)
 
 
 def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -83,24 +91,46 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-def archive(records: Iterable[bytes]) -> Iterator[bytes]:
-    """The frames of an archive. Only the sample is held back."""
+def archives(records: Iterable[bytes], chunk_bytes: int = CHUNK_BYTES, chunks: int = ARCHIVE_CHUNKS) -> Iterator[bytes]:
+    """The frames of archives in chunks; each archive but the last has `chunks` of them.
+    Only the sample and a chunk are held back."""
     records = iter(records)
+    for first in records:
+        yield from _archive(chain([first], records), chunk_bytes, chunks)
+
+
+def _archive(records: Iterator[bytes], chunk_bytes: int, chunks: int) -> Iterator[bytes]:
+    """One archive of records, which are not empty; what does not fit is left to the next."""
     held, size = [], 0
     for one in records:
         held.append(one)
         size += len(one)
-        if size >= SAMPLE_BYTES:
+        if size >= min(SAMPLE_BYTES, chunk_bytes):  # no more than one archive holds
             break
-    if not held:
-        return
     dictionary = build_dictionary(held)
-    yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
-    yield press.compress(record("warcinfo", [("WARC-Record-ID", "<urn:x-archive:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-    yield from map(press.compress, held)
+    info = record("warcinfo", [("WARC-Record-ID", "<urn:x-archive:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+    frames = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)), dictionary, *map(press.compress, [info, *held])]
     del held
-    yield from map(press.compress, records)
+    size = sum(map(len, frames))
+    for _ in range(chunks - 1):
+        if size < chunk_bytes:
+            for one in records:
+                frames.append(press.compress(one))
+                size += len(frames[-1])
+                if size >= chunk_bytes:
+                    break
+        if not frames:
+            return
+        yield b"".join(frames)
+        frames, size = [], 0
+    for one in records:
+        frames.append(press.compress(one))
+        size += len(frames[-1])
+        if size >= chunk_bytes:
+            break
+    if frames:
+        yield b"".join(frames)
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -141,39 +171,44 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def with_decision(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(id, url, html, refers_to): refers_to is null for what is stored as response."""
+def with_decision(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, shared_payloads: int = SHARED_PAYLOADS) -> DataFrame:
+    """(id, row, url, html, kept): kept is the page and row that a revisit refers to, and
+    null for what is stored as response. While few payloads occur more than once, every
+    executor gets their table and no html is shuffled."""
     html = F.coalesce(pages[html_col], F.lit(""))
-    known = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), html.alias("html"))
-    known = known.withColumns({"digest": F.unhex(F.sha1("html")), "bytes": F.octet_length("html")})
-    keys = known.where(F.col("bytes") >= least_bytes).select("id", "digest")
-    kept = materialize(keys.groupBy("digest").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept"), "kept")
-    refers = keys.join(kept, "digest").where("kept is not null and not (id <=> kept)").select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), F.col("kept").alias("refers_to")).distinct()
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    return known.join(refers.hint("shuffle_hash"), same, "left").select("id", "url", "html", "refers_to")
+    known = pages.select(pages[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), pages[url_col].alias("url"), html.alias("html"))
+    known = known.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha1("html"))))
+    kept = known.where("digest is not null").groupBy("digest").agg(F.max(F.struct("id", "row")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 and kept.id is not null").select("digest", "kept")
+    kept = materialize(kept, "kept")
+    if kept.count() <= shared_payloads:
+        kept = F.broadcast(kept)
+    revisit = F.when(~F.col("id").eqNullSafe(F.col("kept.id")), F.col("kept"))
+    return known.join(kept, "digest", "left").select("id", "row", "url", "html", revisit.alias("kept"))
 
 
-def write_archives(decided: DataFrame, path: str) -> None:
-    """Write (id, url, html, refers_to) as archives, one for each partition."""
+def write_archives(decided: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, chunks: int = ARCHIVE_CHUNKS) -> None:
+    """Write (id, row, url, html, kept) as archives, one or more for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[bytes]:
             for batch in batches:
-                for i, url, html, refers_to in zip(*batch.columns, strict=True):
-                    yield page_record(i.as_py(), url.as_py(), html.as_py().encode("utf-8", "surrogatepass"), refers_to.as_py())
+                for i, row, url, html, kept in zip(*batch.columns, strict=True):
+                    refers_to = (kept["id"].as_py(), kept["row"].as_py()) if kept.is_valid else None
+                    yield page_record(i.as_py(), row.as_py(), url.as_py(), html.as_py().encode("utf-8", "surrogatepass"), refers_to)
 
-        held, size = [], 0
-        for frame in archive(rows()):
-            held.append(frame)
-            size += len(frame)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
+        for chunk in archives(rows(), chunk_bytes, chunks):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.binary())], ["frames"])
 
-    frames = map_batches(decided.select("id", "url", "html", "refers_to"), run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+    frames = map_batches(decided.select("id", "row", "url", "html", "kept"), run, "frames binary")
+    lines = frames.select(F.col("frames").cast("string").alias("value"))
+    lines.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", chunks).text(path)
+    jvm = decided.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(decided.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
 
 
 def read_archives(spark: SparkSession, path: str, with_html: bool = False) -> DataFrame:
@@ -206,4 +241,4 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = False) -> Da
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * with_html
-    return map_batches(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"), run, kinds)
+    return map_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content"), run, kinds)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -278,12 +279,13 @@ def test_proximity_does_not_depend_on_shards(spark):
             assert set(r["items"]) == exact and set(r.near_items) == expected
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("shared", [0, 100])
+def test_warc_round_trip(spark, tmp_path, shared):
     big, other = "<p>same</p>" * 200, "é " * 600
     rows = [(1, "http://a/ b?c=%20\r\nX: y", big), (5, None, big), (3, "http://é/", big), (4, "u", "<p>small</p>"), (6, "u", "<p>small</p>"), (7, "u", None), (8, "u", other), (None, "n", big), (5, "twice", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = f"{tmp_path}/archives"
-    warc.write_archives(warc.with_decision(pages).coalesce(2), path)
+    warc.write_archives(warc.with_decision(pages, shared_payloads=shared).coalesce(2), path)
     got = warc.read_archives(spark, path, with_html=True).collect()
     assert len(got) == len(rows)
     html = {i: h or "" for i, _, h in rows}
@@ -304,14 +306,35 @@ def test_warc_frames_are_standard(spark, tmp_path):
     import zstandard
 
     texts = [f"<html>{k} " + "lorem ipsum " * 40 for k in range(400)]
-    data = warc.EMPTY_FRAME.join(warc.archive(warc.page_record(k, None, t.encode(), None) for k, t in enumerate(texts)))
+    data = warc.EMPTY_FRAME.join(warc.archives(warc.page_record(k, k, None, t.encode()) for k, t in enumerate(texts)))
     magic, size = struct.unpack_from("<II", data)
     assert magic == warc.DICTIONARY_MAGIC
     dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + size])
     reader = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(data[8 + size :], read_across_frames=True)
     assert reader.read().count(b"WARC-Type: response") == len(texts)
     assert len(list(warc.records_of(data))) == len(texts) + 1
-    assert list(warc.archive(iter([]))) == []
+    assert list(warc.archives(iter([]))) == []
+
+
+@pytest.mark.parametrize("n", [1, 7, 500])
+def test_archives_are_bounded(spark, tmp_path, n):
+    """One partition makes several archives, each with its dictionary; record ids differ."""
+    draw = random.Random(n)
+    rows = [(k % 5 or None, f"u{k}", "".join(chr(draw.randrange(33, 126)) for _ in range(draw.randrange(3000)))) for k in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/archives"
+    warc.write_archives(warc.with_decision(pages), path, chunk_bytes=20_000, chunks=3)
+    files = sorted(x for x in os.listdir(path) if x.endswith(".warc.zst"))
+    assert len(files) >= n // 100
+    ids = []
+    for name in files:
+        with open(f"{path}/{name}", "rb") as file:
+            data = file.read()
+        assert data[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") and len(data) < 3 * 30_000 + warc.DICTIONARY_BYTES
+        ids += [warc.parse_record(r)[0]["WARC-Record-ID"] for r in warc.records_of(data)][1:]
+    assert len(ids) == len(set(ids)) == n
+    got = warc.read_archives(spark, path, with_html=True).collect()
+    assert sorted((r.url, r.html) for r in got) == sorted((u, h) for _, u, h in rows)
 
 
 def test_quality_held_out(spark):
@@ -337,7 +360,9 @@ def test_quality_equations(spark, docs):
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(z.T @ z + penalty, z.T @ y)
     assert np.allclose(z @ beta, z @ model.beta, atol=1e-6)
-    assert abs(z[:, :-1] @ z[:, :-1].T - np.exp(-(quality.WIDTH**2) / 2 * ((np.clip((np.asarray([x for f, x, _ in rows if f > 1]) - model.mean) / model.scale, -5, 5)[:, None] - np.clip((np.asarray([x for f, x, _ in rows if f > 1]) - model.mean) / model.scale, -5, 5)[None]) ** 2).sum(-1))).mean() < 0.08
+    x = np.clip((np.asarray([x for f, x, _ in rows if f > 1]) - model.mean) / model.scale, -5, 5)
+    kernel = np.exp(-(quality.WIDTH**2) / 2 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert abs(z[:, :-1] @ z[:, :-1].T - kernel).mean() < 0.08
     flipped = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     a, b = ({r.id: r.score for r in quality.quality_scores(table, given).collect()} for given in (labels, flipped))
     assert a == b
