@@ -25,8 +25,8 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 def grep(texts: DataFrame, pattern: str, key: str = "path", text: str = "text", python_syntax: bool = False) -> DataFrame:
     """(key, n, shown) of lines that match; shown is the line, trimmed and cut for display.
 
-    Patterns are Java regular expressions, matched in the JVM on lines of texts that
-    match as a whole somewhere; python_syntax matches with Python's `re` instead.
+    Patterns are Java regular expressions, matched in the JVM line by line;
+    python_syntax matches with Python's `re` instead.
     """
     rows = lines(texts, key, text)
     if python_syntax:
@@ -44,16 +44,16 @@ def grep(texts: DataFrame, pattern: str, key: str = "path", text: str = "text",
 
 
 def grep_report(texts: DataFrame, pattern: str, key: str = "path", text: str = "text", most: int = MOST_HITS) -> str:
-    """The first hits as `path:n: line`, with a last line if there are more; or why none."""
+    """The first hits as `path:n: line`, and a remark where there are more or none."""
     try:
         re.compile(pattern)
     except re.error as error:
-        return f"invalid pattern: {error}"
-    hits = grep(texts, pattern, key, text, python_syntax=True).orderBy(key, "n").limit(most).collect()
-    found = [f"{r[0]}:{r.n}: {r.shown}" for r in hits]
-    if len(found) == most:
-        found.append(f"[truncated at {most} matches]")
-    return "\n".join(found) or "no matches"
+        return f"not a regular expression: {error}"
+    hits = grep(texts, pattern, key, text, python_syntax=True).orderBy(key, "n").take(most + 1)
+    shown = [f"{r[0]}:{r.n}: {r.shown}" for r in hits[:most]]
+    if len(hits) > most:
+        shown.append(f"({most} lines are shown, others match as well)")
+    return "\n".join(shown or ["(no line matches)"])
 
 
 def line_window(text: Column, start: int, end: int, most: int = 200) -> Column:

@@ -9,6 +9,7 @@ import argparse
 import json
 import os
 import sys
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -124,6 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "serve":
             sub.add_argument("--events", required=True)
             sub.add_argument("--checkpoint", required=True)
+            sub.add_argument("--produce", action="store_true", help="write the events, too, by looking at the tree")
     args = parser.parse_args(argv)
     if not os.path.isdir(args.repo):
         print(f"not a directory: {args.repo}", file=sys.stderr)
@@ -139,12 +141,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(json.dumps(report) if args.json else ", ".join(f"{k}: {v}" for k, v in report.items()))
         return 0
     if args.command == "serve":
-        from sparkindex.streaming.watch import read_events, sweep_every, watch
+        from sparkindex.streaming.watch import Producer, read_events, sweep_every, watch
 
+        os.makedirs(args.events, exist_ok=True)
+        stop = threading.Event()
+        if args.produce:
+            threading.Thread(target=Producer(args.repo, args.events).run, args=(stop,), daemon=True).start()
         queries = [watch(spark, args.repo, index.store, read_events(spark, args.events), f"{args.checkpoint}/events"), sweep_every(spark, args.repo, index.store, f"{args.checkpoint}/sweep")]
         try:
             spark.streams.awaitAnyTermination()
         finally:
+            stop.set()
             for query in queries:
                 query.stop()
         return 0

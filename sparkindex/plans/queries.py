@@ -6,9 +6,11 @@ anew. Text columns only, so results can be compared by value: arrays are joined.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -481,6 +483,12 @@ def extract_udtf(spark, sf_dir):
     return spark.sql("SELECT path, t.* FROM sample_sources, LATERAL extract_symbols(content, language) t")
 
 
+@query(_values([(path, hashlib.blake2b(source.encode(), digest_size=16).hexdigest()) for path, _, source in samples.SOURCES], "path, content_hash"))
+def sample_hashes(spark, sf_dir):
+    """BLAKE2b of the sample sources, against Python's."""
+    return _samples(spark).select("path", hashing.blake2b(F.col("content")).alias("content_hash"))
+
+
 # --- trees, stores and streams -----------------------------------------------------------
 
 
@@ -566,14 +574,20 @@ def streamed_index(spark, sf_dir):
     return usages(store.read())
 
 
-@query("SELECT * FROM (VALUES ('files', 'extra', 'shop/prices.py'), ('files', 'missing', 'new.py')) v(\"table\", side, path)")
+#: shop/prices.py had four symbols, new.py has one; references differ where they now resolve otherwise.
+DRIFT = [("files", "extra", "shop/prices.py", 1), ("files", "missing", "new.py", 1), ("symbols", "extra", "shop/prices.py", 4), ("symbols", "missing", "new.py", 1)]
+DRIFT += [("refs", side, path, n) for side, rows in (("extra", {*WHOLE} - {*AFTER}), ("missing", {*AFTER} - {*WHOLE})) for path, n in sorted(Counter(r[0] for r in rows).items())]
+
+
+@query(_values(DRIFT, '"table", side, path, n'))
 def check_index(spark, sf_dir):
-    """Drift of a store whose files have changed: the rows of the table files."""
+    """Drift of a store whose files have changed, in all three tables."""
     folder = _folder(spark)
     root, store = _tree(f"{folder}/tree"), Store(spark, f"{folder}/store")
     indexing.build(spark, root, store, NOW)
     _edit(root)
-    return indexing.check(spark, root, store).where("table = 'files'").select("table", "side", F.get_json_object("row", "$.path").alias("path"))
+    found = indexing.check(spark, root, store).withColumn("path", F.get_json_object("row", "$.path"))
+    return found.groupBy("table", "side", "path").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query(
@@ -613,6 +627,8 @@ def phrase_search(spark, sf_dir):
 
 
 TOOLS = [
+    ("search_symbols", "total  function  shop/prices.py:5  def total(items)\nadd_up  import  shop/cart.py:2  .prices.total"),
+    ("repo_map", "shop/prices.py  (python, 4 symbols, 3 inbound)  Tax, total, fmt\nweb/api.ts  (typescript, 2 symbols, 1 inbound)  load\nbuild.py  (python, 1 symbols, 0 inbound)  z\nshop/cart.py  (python, 11 symbols, 0 inbound)  LIMIT, Cart, clear\nweb/app.tsx  (tsx, 8 symbols, 0 inbound)  Page, Cache"),
     ("find_definition", "total  function  shop/prices.py:5  def total(items)"),
     ("find_references", "shop/cart.py:20  add_up  [import]  -> total (shop/prices.py)\nshop/prices.py:8  total  [exact]  -> total (shop/prices.py)"),
     ("outline_file", "1  Tax  class  class Tax\n2  Tax.rate  const\n5  total  function  def total(items)\n11  fmt  function  def fmt(x)"),
@@ -626,5 +642,5 @@ def agent_tools(spark, sf_dir):
     folder = _folder(spark)
     index = CodeIndex(spark, _tree(f"{folder}/tree"), f"{folder}/store")
     index.build()
-    said = [("find_definition", index.find_definition("total")), ("find_references", index.find_references("total")), ("outline_file", index.outline_file("shop/prices.py")), ("missing", index.find_definition("nothing"))]
+    said = [("search_symbols", index.search_symbols("tot")), ("repo_map", index.repo_map()), ("find_definition", index.find_definition("total")), ("find_references", index.find_references("total")), ("outline_file", index.outline_file("shop/prices.py")), ("missing", index.find_definition("nothing"))]
     return spark.createDataFrame([(tool, "\n".join(x for x in text_.split("\n") if not x.startswith("index_age_ms"))) for tool, text_ in said], "tool string, answer string")

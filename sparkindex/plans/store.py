@@ -22,6 +22,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._staging = f"staging/{uuid.uuid4().hex}"  # a writer's own, so that none removes another's
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -63,8 +64,8 @@ class Store:
         return Index(*(self.spark.createDataFrame([], schema) for schema in TABLES.values()))
 
     def stage(self, frame: DataFrame) -> DataFrame:
-        """Write an intermediate table under the root; the next publication removes it."""
-        return self.keep(frame, "staging")
+        """Write an intermediate table under the root; its publication removes it."""
+        return self.keep(frame, self._staging)
 
     def keep(self, frame: DataFrame, folder: str) -> DataFrame:
         """Write a table into a folder of the root and read it back."""
@@ -88,14 +89,16 @@ class Store:
         stream.close()
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"version {version} was published by another writer")
-        fs.delete(self._path("staging"), True)
+        fs.delete(self._path(self._staging), True)
         return version
 
     def prune(self, keep: int = 2) -> None:
-        """Delete all but the newest versions, and old outcomes."""
+        """Delete all but the newest versions, old outcomes and what writers have left staged;
+        for a time when nobody writes."""
         fs = self._fs()
         for version in self.versions()[:-keep]:
             folder = self.manifest(version)["folder"]
             fs.delete(self._path(f"manifests/{version:012d}.json"), False)
             fs.delete(self._path(folder), True)
-        fs.delete(self._path("outcomes"), True)
+        for folder in ("outcomes", "staging"):
+            fs.delete(self._path(folder), True)

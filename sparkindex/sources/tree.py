@@ -81,17 +81,22 @@ def listed(root: str, use_git: bool = True) -> Iterator[str]:
             yield path
 
 
+def ignored(root: str, paths: list[str]) -> set[str]:
+    """Those of the paths that the same rule leaves out; git is asked once, where there is
+    a repository, and where it can't answer nothing more is ignored."""
+    out = {path for path in paths if in_ignored_directory(path)}
+    rest = [path for path in paths if path not in out]
+    if rest and os.path.exists(os.path.join(root, ".git")):
+        try:
+            told = subprocess.run(["git", "check-ignore", "--stdin", "-z"], cwd=root, input="\0".join(rest).encode("utf-8", "surrogateescape"), capture_output=True, timeout=60, check=False)
+        except (OSError, subprocess.TimeoutExpired):
+            return out
+        out |= {path for path in told.stdout.decode("utf-8", "surrogateescape").split("\0") if path}
+    return out
+
+
 def is_ignored(root: str, path: str) -> bool:
-    """The same rule for one path; git is asked where there is a repository, and where it
-    can't answer the path is not ignored."""
-    if in_ignored_directory(path):
-        return True
-    if not os.path.exists(os.path.join(root, ".git")):
-        return False
-    try:
-        return subprocess.run(["git", "check-ignore", "-q", path], cwd=root, capture_output=True, timeout=30, check=False).returncode == 0
-    except (OSError, subprocess.TimeoutExpired):
-        return False
+    return path in ignored(root, [path])
 
 
 def read_file(root: str, path: str, max_bytes: int = MAX_FILE_BYTES) -> tuple:
@@ -165,8 +170,9 @@ def read_paths(spark: SparkSession, root: str, paths: DataFrame, max_bytes: int
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for frame in frames:
             rows = []
+            out = ignored(root, list(frame["path"]))
             for path in frame["path"]:
-                known = language_of(path) is not None and not is_ignored(root, path)
+                known = language_of(path) is not None and path not in out
                 rows.append(read_file(root, path, max_bytes) if known else (path, language_of(path), None, None, None, None, "gone"))
             yield pd.DataFrame(rows, columns=names)
 

@@ -1,6 +1,7 @@
 """Change streams: events on paths keep an index fresh.
 
-Events (path, dest_path, ts, op, is_directory) come from a stream of JSON files. A
+Events (path, dest_path, ts, op, is_directory) come from a stream of JSON files, which
+Producer or any other watcher of the tree writes. A
 micro-batch coalesces its events to one refresh of each path, so a storm on a path costs
 one; an event that is late or repeated finds the file as it is now and changes nothing.
 Events that never come are made good by a sweep.
@@ -8,7 +9,12 @@ Events that never come are made good by a sweep.
 
 from __future__ import annotations
 
+import json
+import os
+import threading
 import time
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +23,50 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkindex.model import IGNORED, MAX_FILE_BYTES
 from sparkindex.plans.indexing import refresh, sweep
 from sparkindex.plans.store import Store
+from sparkindex.sources.tree import listed
 
 EVENTS = "path string, dest_path string, ts timestamp, op string, is_directory boolean"
 
 
+def tree_state(root: str) -> dict[str, tuple[int, int]]:
+    """(mtime in ns, size) of each source file under a local root."""
+    found = {}
+    for path in listed(root):
+        try:
+            status = os.stat(os.path.join(root, path))
+        except OSError:  # gone since it was listed
+            continue
+        found[path] = (status.st_mtime_ns, status.st_size)
+    return found
+
+
+class Producer:
+    """Tells the changes of a local tree as events: a file of JSON lines for each look at
+    it that found some. Started with the state that the index has, nothing is missed."""
+
+    def __init__(self, root: str, folder: str):
+        self.root, self.folder, self.seen = root, folder, tree_state(root)
+        os.makedirs(folder, exist_ok=True)
+
+    def look(self) -> int:
+        """How many events there were since the last look."""
+        now = tree_state(self.root)
+        ops = {path: "created" if path not in self.seen else "modified" for path, state in now.items() if self.seen.get(path) != state}
+        ops |= dict.fromkeys(self.seen.keys() - now.keys(), "deleted")
+        if ops:
+            stamp = datetime.now(timezone.utc).isoformat()
+            name = uuid.uuid4().hex
+            with open(f"{self.folder}/.{name}", "w", encoding="utf-8") as file:
+                file.writelines(json.dumps({"path": path, "ts": stamp, "op": op, "is_directory": False}) + "\n" for path, op in sorted(ops.items()))
+            os.rename(f"{self.folder}/.{name}", f"{self.folder}/{name}.json")
+        self.seen = now
+        return len(ops)
+
+    def run(self, stop: threading.Event, interval: float = 1.0) -> None:
+        while not stop.wait(interval):
+            self.look()
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).json(folder)
 
@@ -63,4 +109,4 @@ def sweep_every(spark: SparkSession, root: str, store: Store, checkpoint: str, i
     return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-__all__ = ["EVENTS", "debounced", "read_events", "sweep_every", "touched_paths", "watch"]
+__all__ = ["EVENTS", "Producer", "debounced", "read_events", "sweep_every", "touched_paths", "watch"]

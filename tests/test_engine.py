@@ -94,7 +94,7 @@ def test_interrupted_writer_leaves_no_trace(spark, root, store):
     os.makedirs(f"{store.root}/v000000000002-dead/files")
     assert values(store.read()) == before
     indexing.build(spark, root, store, 1.0)
-    assert values(store.read()) == before and not os.path.exists(f"{store.root}/staging")
+    assert values(store.read()) == before and not os.listdir(f"{store.root}/staging")
 
 
 NAMES = ["a.py", "b.py", "pkg/a.py", "web/x.ts", "web/y.tsx", "k.js", "t.txt", "node_modules/z.js"]
@@ -227,8 +227,9 @@ def test_budget(spark):
 def test_grep(spark):
     texts = spark.createDataFrame([("b.py", "x = 1\r\n  foo(2)\n"), ("a.py", "foo\n\nfoo")], "path string, text string")
     assert scan.grep_report(texts, r"foo(?!\()") == "a.py:1: foo\na.py:3: foo"
-    assert scan.grep_report(texts, "(").startswith("invalid pattern") and scan.grep_report(texts, "zzz") == "no matches"
-    assert scan.grep_report(texts, "foo", most=2).endswith("[truncated at 2 matches]")
+    assert scan.grep_report(texts, "(").startswith("not a regular expression") and scan.grep_report(texts, "zzz") == "(no line matches)"
+    assert scan.grep_report(texts, "foo", most=2).split("\n")[2:] == ["(2 lines are shown, others match as well)"]
+    assert len(scan.grep_report(texts, "foo", most=3).split("\n")) == 3
     assert sorted(map(tuple, scan.grep(texts, "foo").collect())) == [("a.py", 1, "foo"), ("a.py", 3, "foo"), ("b.py", 2, "foo(2)")]
 
 
@@ -243,11 +244,14 @@ def test_episodes_end_to_end(spark, root, tmp_path):
     (tmp_path / "rec.json").write_text(json.dumps({"episodes": {"t1": {"turns": turns}, "t2": {"turns": [{"prompt_tokens": 1, "completion_tokens": 1}]}}}))
     model = benchmarking.Replay.load(spark, str(tmp_path / "rec.json"))
     table = benchmarking.run(spark, str(tmp_path / "tasks.json"), model, str(tmp_path / "repos"), str(tmp_path / "log.jsonl"), repetitions=2, split="all")
-    assert "| grep | 4 | 50% | 176 (2-350) | 0.5 |" in table and "| sparkindex | 4 | 50% |" in table
+    assert "| grep | 50.0% | 4 | 176 | 2 to 350 | 0.5 |" in table and "| sparkindex | 50.0% | 4 |" in table
     log = records.read_log(spark, str(tmp_path / "log.jsonl"))
     rows = {(r.task, r.contestant, r.rep): r for r in evaluation.rebuild_episodes(log, records.read_tasks(spark, str(tmp_path / "tasks.json"))).collect()}
     r = rows["t1", "grep", 0]
     assert (r.success, r.total_tokens, r.wasted_reads) == (True, 350, 1) and not rows["t2", "grep", 1].success
+    told = {(x.task, x.contestant, x.rep): x for x in log.where("kind = 'result'").collect()}
+    assert {k: (x.success, x.total_tokens, x.wasted_reads) for k, x in told.items()} == {k: (x.success, x.total_tokens, x.wasted_reads) for k, x in rows.items()}
+    assert all(x.task_id == x.task and x.repetition == x.rep and x.wall_seconds >= 0 for x in told.values())
 
 
 def test_episode_limits(tmp_path):
@@ -264,7 +268,33 @@ def test_episode_limits(tmp_path):
     task = {"id": "t", "question": "q"}
     assert benchmarking.run_episode(task, one, one, str(tmp_path), log, max_steps=3)["failure"] == "step-cap"
     assert benchmarking.run_episode(task, one, one, str(tmp_path), log, token_cap=30)["failure"] == "token-cap"
-    assert benchmarking.read_window(str(tmp_path), {"path": "no"}).startswith("cannot read")
+    put(tmp_path, {"f.py": "".join(f"line {k}\n" for k in range(1, 301))})
+    read = lambda **asked: benchmarking.read_window(str(tmp_path), {"path": "f.py"} | asked)
+    assert read(start_line=299) == "299: line 299\n300: line 300" and read(start_line=2, end_line=3) == "2: line 2\n3: line 3"
+    assert len(read().split("\n")) == len(read(end_line=999).split("\n")) == 200 and read(start_line=5, end_line=4) == read(start_line=400) == ""
+    assert "not readable" in read(path="no") and "not readable" in benchmarking.read_window(str(tmp_path), {})
+
+
+def test_final_answer_ends_an_episode(tmp_path):
+    class Answers:
+        name = "none"
+
+        def __init__(self, *turns):
+            self.turns = [*turns]
+
+        def tools(self):
+            return []
+
+        def turn(self, messages, tools):
+            assert messages[0]["role"] == "system" and "final_answer" in tools
+            return self.turns.pop(0)
+
+    put(tmp_path, {"a.py": "x = 1\n", "b.py": "y = 1\n"})
+    reads = benchmarking.Turn((("read_file", {"path": "a.py"}), ("read_file", {"path": "b.py"}), ("final_answer", {"text": ""}), ("read_file", {"path": "c.py"})), None, 1, 1)
+    model, log = Answers(reads, benchmarking.Turn((("final_answer", {"text": "in a.py"}),), None, 1, 1)), io.StringIO()
+    got = benchmarking.run_episode({"id": "t", "question": "q"}, model, model, str(tmp_path), log, judge=lambda check, answer: answer == "in a.py", clock=iter(range(9)).__next__)
+    assert (got["success"], got["wasted_reads"], got["total_tokens"], got["wall_seconds"], got["failure"]) == (True, 1, 4, 3, None)
+    assert [json.loads(x)["kind"] for x in log.getvalue().splitlines()] == ["model", "tool", "tool", "model", "result"]
 
 
 def test_records(spark, tmp_path):
@@ -278,6 +308,25 @@ def test_records(spark, tmp_path):
         subprocess.run(["git", *command], cwd=origin, check=True)
     commit = subprocess.run(["git", "rev-parse", "HEAD"], cwd=origin, check=True, capture_output=True, text=True).stdout.strip()
     assert [benchmarking.check_out("r", str(origin), commit, str(tmp_path / "repos")) for _ in range(2)] == ["cloned", "up-to-date"]
+    put(origin, {".gitignore": "b.py\n", "b.py": "", "-c.py": ""})
+    for command in (["add", ".gitignore"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "two"]):
+        subprocess.run(["git", *command], cwd=origin, check=True)
+    later = subprocess.run(["git", "rev-parse", "HEAD"], cwd=origin, check=True, capture_output=True, text=True).stdout.strip()
+    assert benchmarking.check_out("r", str(origin), later, str(tmp_path / "repos")) == "updated" and (tmp_path / "repos" / "r" / ".gitignore").exists()
+    assert tree.ignored(str(origin), ["a.py", "b.py", "-c.py", "node_modules/x.js"]) == {"b.py", "node_modules/x.js"}
+
+
+def test_producer_tells_changes(spark, root, store, tmp_path):
+    indexing.build(spark, root, store, 1.0)
+    producer = watch.Producer(root, str(tmp_path / "events"))
+    assert producer.look() == 0
+    put(root, {"late.py": "def unseen(): pass\n", "lib/core.py": "def other(): pass\n", "notes.txt": "no"})
+    os.remove(f"{root}/web/api.ts")
+    assert producer.look() == 3 and producer.look() == 0
+    watch.watch(spark, root, store, watch.read_events(spark, str(tmp_path / "events")), str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    kept = store.read()
+    assert {r.path for r in lookups.indexed_paths(kept).collect()} == {"app.py", "late.py", "lib/core.py", "web/ui.tsx"}
+    assert lookups.find_definition(kept, "unseen").count() == lookups.find_definition(kept, "other").count() == 1
 
 
 def test_command_line(spark, root, tmp_path, capsys):
