@@ -195,14 +195,20 @@ def _curve(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(at * n, starts) / weight, value[starts]
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = FOLDS, max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from the rows of stats (id, x) that labels marks, but for the held-out fold."""
+def training(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = FOLDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(id, y) of the labels to learn from: none of the held-out fold, about max_labelled at most."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where("id is not null and y is not null")
     marked = marked.where(fold(F.col("id"), folds) != 0)
     known = marked.count()
     share = min(1.0, max_labelled / max(1, known))
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return marked
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", folds: int = FOLDS, max_labelled: int = MAX_LABELLED) -> Model:
+    """Learn from the rows of stats (id, x) that labels marks, but for the held-out fold."""
+    marked = training(labels, label_col, id_col, folds, max_labelled)
     rows = materialize(stats.join(marked, "id").withColumn("fold", fold(F.col("id"), folds)), "labelled")
     k = len(STATISTICS)
     summary = rows.where("fold > 1").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *[f(F.get("x", F.lit(i))).alias(f"{s}{i}") for i in range(k) for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
