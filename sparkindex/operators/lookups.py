@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkindex.functions.text import like
-from sparkindex.model import Index, is_definition
+from sparkindex.model import Index, file_id, is_definition
 
 SYMBOL_ROW = ["symbol_id", "ordinal", "name", "qualified_name", "kind", "path", "start_line", "end_line", "signature"]
 
@@ -53,6 +53,15 @@ def find_references(index: Index, name: str, limit: int = 200) -> DataFrame:
     return find_all_references(index, index.spark.createDataFrame([(name,)], "query string"), limit).drop("query").orderBy(F.col("resolved_qualified_name").isNull(), "path", "line").limit(limit)
 
 
+def narrowed(index: Index, name: str, definition_limit: int = 50) -> Index:
+    """The index with only the references that find_references(index, name) can return. The
+    definitions' ids, definition_limit at most, are collected first, so that they reach the
+    scan of a stored table as a filter; for an index that is computed anew this costs more."""
+    ids = [r.symbol_id for r in find_definition(index, name, definition_limit).select("symbol_id").collect()]
+    open_ = F.col("resolved_symbol_id").isNull() & (F.col("name") == name.rsplit(".", 1)[-1])
+    return Index(index.files, index.symbols, index.refs.where(open_ | F.col("resolved_symbol_id").isin(ids)))
+
+
 def find_all_references(index: Index, names: DataFrame, limit: int = 200, definition_limit: int = 50) -> DataFrame:
     """(query, path, line, name, confidence, resolved_path, resolved_qualified_name)."""
     ids = find_definitions(index, names, definition_limit).select("query", F.col("symbol_id").alias("resolved_symbol_id"), F.col("path").alias("resolved_path"), F.col("qualified_name").alias("resolved_qualified_name"))
@@ -72,8 +81,8 @@ def outline(index: Index) -> DataFrame:
 
 
 def outline_file(index: Index, path: str) -> DataFrame:
-    """One file's symbols in source order; the filter reaches files before the joins."""
-    only = Index(index.files.where(F.col("path") == path), index.symbols.join(index.files.where(F.col("path") == path).select("file_id"), "file_id", "left_semi"), index.refs)
+    """One file's symbols in source order; both filters reach the scans."""
+    only = Index(index.files.where(F.col("path") == path), index.symbols.where(F.col("file_id") == file_id(F.lit(path))), index.refs)
     return outline(only).orderBy("start_line", "qualified_name", "ordinal").drop("ordinal")
 
 

@@ -79,7 +79,7 @@ class CodeIndex:
         return self._answer(rows, budget.symbol_line(), ["path", "start_line", "ordinal"], None, f"nothing defines {name!r}", max_tokens)
 
     def find_references(self, name: str, max_tokens: int = budget.MAX_TOKENS) -> str:
-        rows = lookups.find_references(self.store.read(), name)
+        rows = lookups.find_references(lookups.narrowed(self.store.read(), name), name)
         return self._answer(rows, budget.reference_line(), [F.col("resolved_qualified_name").isNull(), "path", "line", "name"], None, f"nothing uses {name!r}", max_tokens)
 
     def outline_file(self, path: str, max_tokens: int = budget.MAX_TOKENS) -> str:
@@ -102,7 +102,7 @@ def _rows(index: CodeIndex, args) -> tuple[DataFrame, object]:
     if args.outline:
         return lookups.outline_file(held, args.name), budget.indented_outline_line()
     if args.references:
-        return lookups.find_references(held, args.name, args.limit), budget.reference_line()
+        return lookups.find_references(lookups.narrowed(held, args.name), args.name, args.limit), budget.reference_line()
     found = lookups.find_definition(held, args.name, args.limit)
     return (token_search(held, args.name, args.limit) if found.isEmpty() else found), budget.symbol_line()
 

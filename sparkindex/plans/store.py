@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkindex.model import FILES, RESOLVED, SCHEMA_VERSION, SYMBOLS, Index
 
 TABLES = {"files": FILES, "symbols": SYMBOLS, "refs": RESOLVED}
+#: What a table's files are sorted by, and the columns with Bloom filters: a lookup of one
+#: name, id or path skips pages by the order and row groups by the filters. Rows stay in their
+#: partitions, so no name that is used everywhere gathers in one.
+ORDER = {"files": ["path"], "symbols": ["name"], "refs": ["resolved_symbol_id", "name"]}
+FILTERED = {"files": ["path"], "symbols": ["name", "qualified_name", "file_id"], "refs": ["resolved_symbol_id", "name"]}
 
 
 class Store:
@@ -80,7 +85,8 @@ class Store:
         folder = f"v{version:012d}-{uuid.uuid4().hex[:8]}"
         for name, schema in TABLES.items():
             frame = getattr(index, name).select(*[f.name for f in schema])
-            frame.write.parquet(f"{self.root}/{folder}/{name}")
+            filters = {f"parquet.bloom.filter.enabled#{column}": "true" for column in FILTERED[name]}
+            frame.sortWithinPartitions(*ORDER[name]).write.options(**filters | {"parquet.bloom.filter.adaptive.enabled": "true"}).parquet(f"{self.root}/{folder}/{name}")
         fs = self._fs()
         draft, final = self._path(f"manifests/.{folder}"), self._path(f"manifests/{version:012d}.json")
         fs.mkdirs(draft.getParent())

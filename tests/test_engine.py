@@ -11,6 +11,7 @@ import sqlite3
 import subprocess
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,30 @@ def test_build_and_lookups(spark, root, store):
     assert lookups.repo_map(store.empty()).count() == 0
 
 
+def test_stored_lookups_reach_the_scans(spark, root, store, capsys):
+    """A lookup of one thing filters the stored tables where they are read, with the same rows."""
+    indexing.build(spark, root, store, 1.0)
+    index = store.read()
+    for name in ("save_all", "Repo.save", "fetch", "load", "keep", "nothing"):
+        few = lookups.narrowed(index, name)
+        assert lookups.find_references(few, name).collect() == lookups.find_references(index, name).collect()
+        assert few.refs.count() <= index.refs.count()
+    assert lookups.narrowed(index, "fetch").refs.count() == 1 and lookups.narrowed(index, "nothing").refs.count() == 0
+
+    def pushed(rows):
+        capsys.readouterr()
+        rows.explain("formatted")
+        return [line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters")]
+
+    assert any("EqualTo(name,save)" in line and "EqualTo(qualified_name,save)" in line for line in pushed(lookups.find_definition(index, "save")))
+    assert any("EqualTo(file_id," in line for line in pushed(lookups.outline_file(index, "app.py")))
+    assert any("EqualTo(resolved_symbol_id," in line or "In(resolved_symbol_id" in line for line in pushed(lookups.narrowed(index, "save_all").refs))
+    folder = f"{store.root}/{store.manifest(store.versions()[-1])['folder']}"
+    for path in glob.glob(f"{folder}/symbols/*.parquet"):
+        names = pq.read_table(path).column("name").to_pylist()
+        assert names == sorted(names)
+
+
 def test_refresh_outcomes(spark, root, store):
     indexing.build(spark, root, store, 1.0)
     first = store.versions()
