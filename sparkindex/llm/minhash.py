@@ -1,16 +1,24 @@
-"""Near copies by Jaccard similarity: MinHash bands for candidates, exact sets for links.
+"""Near copies by Jaccard similarity: SimHash groups, then MinHash bands for what these
+cannot reach; exact sets for every link.
 
 Words are the runs between ASCII white space of the text with A-Z lower-cased; a
 shingle is `words` of them in a row (fewer: the whole sequence), and the similarity of
 two texts is that of their sets of shingles. Two rows are linked if it is `least` or
 more; texts without words are linked to one another. Every link is checked on the whole
-texts. Candidates are found by BANDS bands of ROWS minima each: a pair of similarity 0.8
+texts.
+
+Rows of equal word sequences collapse to one node first. The nodes' SimHash fingerprints,
+of the same shingles, are linked and grouped by the operator (`simhash.grouped`: blocks,
+Hamming check, components) and every member's text is compared with that of its group's
+first: what is alike is one component and not compared again. Similar sets often differ in
+more bits than blocks can find (0.8: in ten of 64 on average), so fingerprints alone would
+lose links. The rest is found by BANDS bands of ROWS minima each: a pair of similarity 0.8
 meets in at least one with probability 1 - 7e-5, a pair of 0.9 with 1 - 1e-9.
 
-Rows of equal word sequences collapse to one node first. Then, in each bucket, all nodes
-are compared with the one that shares most buckets with others, which of near copies is the
-one nearest to all; what that links is one component. Last come the nodes of buckets that
-hold different components. Two sets of n and m shingles that are alike share (n + m) *
+In each bucket, all nodes are compared with the one that shares most buckets with others,
+which of near copies is the one nearest to all, but for those in its component already; what
+that links is one component too. Last come the nodes of buckets that hold different
+components. Two sets of n and m shingles that are alike share (n + m) *
 least / (1 + least) of them, so, each set put in one order for all, rare shingles first, they
 share one so near the beginnings of both that enough can follow it; and the place of a
 shingle bounds the sizes of sets that its own can be linked to over it. Joined by such
@@ -24,7 +32,6 @@ that met in a bucket every pair is compared, or in one component, or shown to be
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkindex.llm.common import components, discard, map_batches, materialize
+from sparkindex.llm.simhash import digests, fingerprint, grouped, tokens_of
 
 WORDS = 5
 LEAST = 0.8
+#: Bits in which fingerprints that share blocks may differ before their texts are compared.
+REACH = 10
 BANDS, ROWS = 24, 5
 SEED = 42
 #: Shingles whose minima are taken at a time.
@@ -56,19 +66,14 @@ _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uin
 _PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def distinct(digested: list[bytes]) -> np.ndarray:
+    """The sorted set of hashes."""
+    return np.unique(np.frombuffer(b"".join(digested), np.uint64)) if digested else np.zeros(0, np.uint64)
 
 
 def shingles(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
     """The sorted set of the hashes of the shingles."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    stops = list(accumulate(len(token) + 1 for token in tokens))
-    starts, ends = ([0], [len(joined) + 1]) if len(tokens) <= words else ([0, *stops], stops[words - 1 :])
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)]), np.uint64))
+    return distinct(list(digests(tokens, words, SEED)))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -91,16 +96,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _marked(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sizes, keys = [], [], []
+            same, prints, sizes, keys = [], [], [], []
             for text in batch.column(1):
                 tokens = tokens_of(text.as_py())
-                found = shingles(tokens, words)
+                hashes = list(digests(tokens, words, SEED))
+                found = distinct(hashes)
                 same.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                prints.append(fingerprint(hashes))
                 sizes.append(len(found))
                 keys.append(bands(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "same", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "same", "fp", "n", "bands"])
 
-    return map_batches(rows.select("node", "text"), run, "node long, same binary, n long, bands array<long>")
+    return map_batches(rows.select("node", "text"), run, "node long, same binary, fp long, n long, bands array<long>")
 
 
 def _few(numbers: DataFrame) -> DataFrame:
@@ -132,6 +139,29 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Dat
     return map_batches(two.join(one, "a").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+def _by_fingerprint(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): each node b of a group of fingerprints with the group's first, if their sizes
+    allow that they are alike."""
+    groups = grouped(nodes.select(F.col("node").alias("id"), "fp"), reach=REACH).where("id <> component_id")
+    groups = materialize(groups.select(F.col("component_id").alias("a"), F.col("id").alias("b")), "groups")
+    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("m")).join(_few(groups.select("a").distinct()), "a", "left_semi")
+    members = nodes.select(F.col("node").alias("b"), "n").join(_few(groups), "b")
+    pairs = materialize(members.join(sizes, "a").where(_near_size("n", "m", least)).select("a", "b"), "alike")
+    discard(groups)
+    return pairs
+
+
+def _near_size(n: str, m: str, least: float):
+    return F.least(n, m) >= least * F.greatest(n, m)
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component."""
+    of = [_few(comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))) for x in "ab"]
+    known = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return known.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def _shared_most(shared: DataFrame) -> DataFrame:
     """(key, a, m): the node of each bucket that meets most others over all its buckets, and
     how many shingles it has."""
@@ -198,18 +228,22 @@ def repeats(rows: DataFrame, id_col: str, text_col: str = "text", words: int = W
     marks = materialize(_marked(rows, words), "marks")
     alike = materialize(marks.groupBy("same").agg(F.min("node").alias("node")).select("node"), "alike")
     copies = materialize(marks.select("node").join(alike, "node", "left_anti"), "copies")
-    nodes = materialize(marks.join(_few(copies), "node", "left_anti").select("node", "n", "bands"), "nodes")
+    nodes = materialize(marks.join(_few(copies), "node", "left_anti").select("node", "fp", "n", "bands"), "nodes")
+    groups = _by_fingerprint(nodes, least)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     met = materialize(keyed.join(_few(sizes), "key"), "met-buckets")
     middles = materialize(_shared_most(met), "middles")
     shared = materialize(met.join(middles, "key").select("key", "node", "n", "a", "m"), "buckets")
-    texts = materialize(rows.join(_few(materialize(shared.select("node").distinct(), "met")), "node", "left_semi"), "texts")  # of nodes that met another
-    near_size = F.least("n", "m") >= least * F.greatest("n", "m")
-    stars = shared.where((F.col("node") != F.col("a")) & near_size).select("a", F.col("node").alias("b"))
-    stars = materialize(stars.distinct(), "stars")
-    linked = materialize(_linked(stars, texts, words, least), "linked")
+    both = shared.select("node").union(groups.select("a")).union(groups.select("b")).distinct()
+    texts = materialize(rows.join(_few(materialize(both, "met")), "node", "left_semi"), "texts")  # of nodes that met another
+    first = materialize(_linked(groups, texts, words, least), "linked")
+    comps = components(first)
+    stars = shared.where((F.col("node") != F.col("a")) & _near_size("n", "m", least)).select("a", F.col("node").alias("b"))
+    stars = materialize(_apart(stars.distinct(), comps), "stars")
+    linked = materialize(first.unionByName(_linked(stars, texts, words, least)), "linked")
     comps = components(linked)
+    tried = groups.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     left = materialize(_across(materialize(members, "members"), "key").select("node", "comp").distinct(), "left")
     begun = materialize(_beginnings(texts.join(_few(left.select("node")), "node", "left_semi"), words, least), "beginnings")
@@ -223,12 +257,12 @@ def repeats(rows: DataFrame, id_col: str, text_col: str = "text", words: int = W
     y = inside.select("h", _size_class(F.col("n")).alias("class"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("cy"), F.col("at").alias("at_y"))
     enough = F.least(x.n - x.at_x, y.m - y.at_y) + 1 >= (x.n + y.m) * ratio - 1e-6
     pairs = x.join(y, (x.h == y.h) & (x["class"] == y["class"]) & (x.cx != y.cy) & enough & y.m.between(x.low, x.high))
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_linked(pairs, texts, words, least), "linked")
     if not more.isEmpty():
         comps = components(linked.unionByName(more))
     behind = comps.where("node <> comp").select("node")
     out = materialize(copies.unionByName(behind).withColumnRenamed("node", "id"), "repeats")
-    for used in (marks, alike, copies, nodes, sizes, met, middles, shared, texts, stars, linked, left, begun, inside, pairs, more):
+    for used in (marks, alike, copies, nodes, groups, sizes, met, middles, shared, texts, first, stars, linked, left, begun, inside, pairs, more):
         discard(used)
     return out

@@ -58,7 +58,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose sets of five-word shingles have similarity 0.8 or more are linked, and of
     each group that links connect one row stays: the one that the table has first, by
-    files and places in them. All texts without words, null ones too, are one group."""
+    files and places in them. Links come from the SimHash operator, checked on whole texts,
+    and what its fingerprints cannot reach from MinHash bands, checked likewise. All texts
+    without words, null ones too, are one group."""
     rows, row = numbered(docs)
     gone = repeats(rows, row).withColumnRenamed("id", row)
     gone = F.broadcast(gone) if gone.count() <= SHARED_ROWS else gone

@@ -18,11 +18,15 @@ A bucket of more than `crowd` fingerprints is not joined with itself: each of it
 fingerprints instead names every value within radius / 2 bits of it, and two
 fingerprints are within radius exactly if they name a common value. That path is exact
 and linear in the bucket's size, and at most 2,081 fingerprints can name one value.
+
+With `reach`, which an exact check of the texts should follow, each fingerprint of a
+bucket is also linked to the bucket's smallest if they differ in at most that many bits.
+That finds many pairs beyond the radius, with the same keys and linear in the bucket's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -44,11 +48,14 @@ SHARED = 64
 CHUNK = 1 << 15
 
 
-def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of one text, as an unsigned integer."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def digests(tokens: list[bytes], words: int = WORDS, seed: int = SEED) -> Iterator[bytes]:
+    """The hashes of the shingles, repeats included, some at a time; none without words."""
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     stops = list(accumulate(len(token) + 1 for token in tokens))
     digest = xxhash.xxh64_digest
@@ -56,14 +63,25 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         starts, ends = [0], [len(joined) + 1]
     else:
         starts, ends = [0, *stops], stops[words - 1 :]
-    n = len(ends)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, CHUNK):
-        hashes = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=False)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    for k in range(0, len(ends), CHUNK):
+        yield b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=False)])
+
+
+def fingerprint(digested: Iterable[bytes]) -> int:
+    """The fingerprint of all these hashes, as an unsigned integer; zero of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in digested:
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(0, dtype=np.int64)
+        n += len(bits)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of one text, as an unsigned integer."""
+    return fingerprint(digests(tokens_of(text), words, seed))
+
+
 def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp) for each row of df; fp is the fingerprint as a signed long."""
 
@@ -111,13 +129,14 @@ def flips(bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD, k: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD, k: int | None = None, reach: int = 0) -> DataFrame:
     """Edges (a, b) between the distinct longs of nodes.fp that, taken together, connect
-    exactly what pairs at Hamming distance <= radius connect."""
+    exactly what pairs at Hamming distance <= radius connect, and with `reach` some more."""
     if radius % 2:
         raise ValueError("radius must be even")
     keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius, k or agreeing(nodes.count(), radius))).alias("k")).select("fp", "k.t", "k.key")
-    sizes = materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")  # written, so that a skewed join with it can be split
+    counted = [F.count(F.lit(1)).alias("n"), *([F.min("fp").alias("least")] if reach > radius else [])]
+    sizes = materialize(keyed.groupBy("t", "key").agg(*counted).where("n > 1"), "sizes")  # written, so that a skewed join with it can be split
     shared = materialize(keyed.join(sizes, ["t", "key"]), "blocks")
     few = shared.where(F.col("n") <= crowd)
     a, b = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
@@ -127,15 +146,23 @@ def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD, k: int | N
     named = many.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
     met = named.groupBy("value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return near.unionByName(stars).distinct()
+    found = near.unionByName(stars)
+    if reach > radius:
+        wider = shared.where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= reach))
+        found = found.unionByName(wider.select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    return found.distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(id, fp, component_id) for each row of df: component_id is the smallest id that can
     be reached over links, its own included."""
-    prints = materialize(with_fingerprint(df, id_col, text_col, words), "fingerprints")
+    return grouped(materialize(with_fingerprint(df, id_col, text_col, words), "fingerprints"), radius, crowd)
+
+
+def grouped(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD, reach: int = 0) -> DataFrame:
+    """(id, fp, component_id) for each row (id, fp) of a written table."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    comps = components(links(nodes.select("fp"), radius, crowd))
+    comps = components(links(nodes.select("fp"), radius, crowd, reach=reach))
     joined = materialize(nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first"), "joined")
     # written before the join with it, so that a component that most texts are in can be split
     named = materialize(joined.groupBy("comp").agg(F.min("first").alias("component_id")), "named")

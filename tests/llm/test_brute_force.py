@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkindex.llm import extract, license_rules, licenses, packing, pipeline, positional, quality, quotes, sharding, simhash, sketch, warc
+from sparkindex.llm import extract, license_rules, licenses, minhash, packing, pipeline, positional, quality, quotes, sharding, simhash, sketch, warc
 from sparkindex.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,30 @@ def test_near_duplicate_stage(spark, docs):
     assert sorted(r.doc_id for r in left) == sorted({*root.values()})
 
 
+def test_near_duplicate_stage_by_fingerprints(spark, monkeypatch):
+    """Without bands, the stage drops what SimHash groups and the check of texts confirms."""
+    texts = [t for t in near_copies() if t and t.split()]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(tuple(t.lower().split()), i)
+    prints = {i: plain_simhash(texts[i], 5) for i in first.values()}
+    seen, marked, grouped = [], minhash._marked, minhash.grouped
+    monkeypatch.setattr(minhash, "_marked", lambda *a: marked(*a).withColumn("bands", F.array().cast("array<long>")))
+    monkeypatch.setattr(minhash, "grouped", lambda *a, **k: seen.append(grouped(*a, **k)) or seen[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(minhash, "discard", lambda df: None)
+    gone = {r.id for r in minhash.repeats(rows, "id").collect()}
+    groups = {r.id: (r.fp % 2**64, r.component_id) for r in seen[0].collect()}
+    assert {i: fp for i, (fp, _) in groups.items()} == prints
+    ids = sorted(prints)
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert all(groups[a][1] == groups[b][1] for a, b in close)
+    sets = five_word_sets(texts)
+    like = {i for i, (_, c) in groups.items() if i != c and len(sets[i] & sets[c]) >= 0.8 * len(sets[i] | sets[c])}
+    assert gone == like | {i for i in range(len(texts)) if i not in prints}
+    assert len(like) > 100 and any((prints[i] ^ prints[groups[i][1]]).bit_count() > 4 for i in like)
+
+
 def test_pipeline_by_brute_force(spark):
     """Each stage's decision, restated plainly, over all rows of the smallest tables."""
     import corpus_pipeline
@@ -141,6 +165,21 @@ def test_links_in_dense_balls(spark, crowd, k):
     assert roots(signed, edges) == roots(signed, exact)
 
 
+def test_links_beyond_the_radius(spark):
+    """With reach, no link of the radius is lost and none is longer than the reach."""
+    draw = random.Random(6)
+    values = set()
+    for _ in range(60):
+        base = draw.getrandbits(64)
+        values |= {base ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(11))) for _ in range(4)}
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), reach=10).collect()]
+    bits = [((a ^ b) % 2**64).bit_count() for a, b in edges]
+    assert max(bits) <= 10 and sum(x > 4 for x in bits) > 20
+    root = roots(signed, edges)
+    assert all(root[a] == root[b] for a in signed for b in signed if ((a ^ b) % 2**64).bit_count() <= 4)
+
+
 def test_more_blocks_for_more_fingerprints():
     assert [simhash.agreeing(n) for n in (0, 5 * 10**7, 10**9, 10**11)] == [2, 2, 3, 4]
     assert all(sum(simhash.block_widths(4, k)) == 64 for k in (2, 3, 4))
