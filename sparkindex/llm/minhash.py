@@ -245,9 +245,13 @@ def repeats(rows: DataFrame, id_col: str, text_col: str = "text", words: int = W
     comps = components(linked)
     tried = groups.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    left = materialize(_across(materialize(members, "members"), "key").select("node", "comp").distinct(), "left")
+    members = materialize(members, "members")
+    left = materialize(_across(members, "key").select("node", "comp").distinct(), "left")
     begun = materialize(_beginnings(texts.join(_few(left.select("node")), "node", "left_semi"), words, least), "beginnings")
-    inside = materialize(_across(materialize(begun.join(left, "node"), "begun"), "h"), "begun-alike")
+    placed = materialize(begun.join(left, "node"), "begun")
+    discard(begun)
+    inside = materialize(_across(placed, "h"), "begun-alike")
+    discard(placed)
     # sets of n and m shingles share (n + m) * ratio; behind place `at` of n there are n - at more
     ratio = least / (1 + least)
     high = F.least(F.floor(F.col("n") / least + 1e-6), F.floor((F.col("n") - F.col("at") + 1) / ratio - F.col("n") + 1e-6))
@@ -263,6 +267,6 @@ def repeats(rows: DataFrame, id_col: str, text_col: str = "text", words: int = W
         comps = components(linked.unionByName(more))
     behind = comps.where("node <> comp").select("node")
     out = materialize(copies.unionByName(behind).withColumnRenamed("node", "id"), "repeats")
-    for used in (marks, alike, copies, nodes, groups, sizes, met, middles, shared, texts, first, stars, linked, left, begun, inside, pairs, more):
+    for used in (marks, alike, copies, nodes, groups, sizes, met, middles, shared, texts, first, stars, linked, members, left, inside, pairs, more):
         discard(used)
     return out

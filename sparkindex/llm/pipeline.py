@@ -21,6 +21,9 @@ from sparkindex.llm.packing import pack, pieces
 from sparkindex.llm.positional import search, write_index
 from sparkindex.llm.quality import THRESHOLD, fit, matrix, statistics, training, with_statistics
 
+#: Rows of a file are numbered in so many bits, files in what is left.
+FILE_BITS = 40
+
 
 def fresh(name: str, docs: DataFrame) -> str:
     """A column name that docs does not have."""
@@ -29,11 +32,28 @@ def fresh(name: str, docs: DataFrame) -> str:
     return name
 
 
+def stored(docs: DataFrame) -> bool:
+    """Whether docs is a Parquet table just as it lies in its files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, written so that it stays the same, and the name
-    of that column."""
+    """docs with a number for each row that stays the same, and the name of that column. Rows
+    of a stored table are numbered by file and place in it, which every scan finds alike, so no
+    text is written again; others are written with their numbers."""
     name = fresh("row", docs)
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    if not stored(docs):
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    path, file = fresh("path", docs), fresh("file", docs)
+    known = docs.metadataColumn("_metadata")
+    rows = docs.select("*", known["file_path"].alias(path), known["row_index"].alias(name))
+    files = sorted(r[0] for r in rows.select(path).distinct().collect())
+    ranks = docs.sparkSession.createDataFrame(pa.table({path: pa.array(files, pa.string()), file: pa.array(range(len(files)), pa.int64())}))
+    placed = rows.join(F.broadcast(ranks), path)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(F.col(file), FILE_BITS) + F.col(name)).alias(name)), name
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,7 +113,10 @@ ORACLE_SQL = None
 
 
 def run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, made = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if made is not None:
+            discard(made)
+        made = docs
     return STAGES[-1][1](spark, docs, sf_dir)

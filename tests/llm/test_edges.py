@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,64 @@ def test_stages_keep_columns_and_rows(spark, docs, none, tmp_path):
     assert clean.count() == len(ROWS) - 1
     assert clean.where("doc_id is null").count() == 2
     assert stages.packed(spark, none, str(tmp_path)).count() == 0
+
+
+def test_rows_of_a_stored_table_keep_their_numbers(spark, docs, none, tmp_path, monkeypatch):
+    """However a scan cuts the files; names of files and columns are no matter."""
+    path = f"{tmp_path}/odd é %20/docs.parquet"
+    many = docs.crossJoin(spark.range(300).toDF("nth")).withColumns({"_metadata": F.lit(1), "path": F.lit("p"), "File": F.lit(2)})
+    many.repartition(3).write.option("parquet.block.size", "20000").parquet(path)
+    monkeypatch.setattr(stages, "materialize", lambda *a: pytest.fail("written again"))
+    seen = []
+    for most in ("4k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            table = spark.read.parquet(path)
+            rows, row = stages.numbered(table)
+            assert rows.columns == [*table.columns, row]
+            seen.append((rows.rdd.getNumPartitions(), {(r[0], r[1], r[2]) for r in rows.select(row, "doc_id", F.sha2("text", 256)).collect()}))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (cuts, one), (fewer, other) = seen
+    assert one == other and cuts > fewer
+    assert len({n for n, *_ in one}) == len(one) == len(ROWS) * 300
+    none.write.parquet(f"{tmp_path}/none.parquet")
+    assert stages.numbered(spark.read.parquet(f"{tmp_path}/none.parquet"))[0].count() == 0
+
+
+def test_only_stored_tables_are_numbered_by_place(spark, docs, tmp_path):
+    """What a join, a union or an explosion repeats, or no file holds, is written with its numbers."""
+    docs.write.parquet(f"{tmp_path}/docs.parquet")
+    table = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    assert stages.stored(table) and not stages.stored(docs)
+    for made in (table.union(table), table.crossJoin(spark.range(2).toDF("twice")), table.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))):
+        assert not stages.stored(made)
+        rows, row = stages.numbered(made)
+        assert rows.select(row).distinct().count() == rows.count() == 2 * len(ROWS)
+    docs.limit(2).write.csv(f"{tmp_path}/docs.csv")
+    assert not stages.stored(spark.read.csv(f"{tmp_path}/docs.csv"))
+
+
+def tables_with(spark, column):
+    """The written tables, by name, that have this column."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return {d.name for d in pathlib.Path(shared, "sparkindex").glob("*") if any(column in pq.read_schema(f).names for f in list(d.glob("*.parquet"))[:1])}
+
+
+def test_stages_leave_no_copy_of_the_texts(spark, docs, tmp_path):
+    """A stored table stays where it is: its texts are not beside the stage's result once more."""
+    docs.repartition(2).write.parquet(f"{tmp_path}/docs.parquet")
+    table = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    spark.createDataFrame([(1, "same id other text here now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = tables_with(spark, "text")
+    for k, (stage, want) in enumerate(((stages.one_of_each_group, len({simhash.simhash(t) for _, t, _ in ROWS})), (stages.without_benchmark, len(ROWS) - 1))):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/{k}.parquet")
+        assert spark.read.parquet(f"{tmp_path}/{k}.parquet").count() == want
+        assert tables_with(spark, "text") == before
+
+
+def test_pipeline_keeps_one_stage_at_a_time(spark):
+    """Of the texts that stages pass on, only those of the last are still there."""
+    before = tables_with(spark, "text")
+    stages.run_stages(spark, "/root/testdata/sf0.001")
+    assert [x.rpartition("-")[0] for x in tables_with(spark, "text") - before] == ["decontamination"]
